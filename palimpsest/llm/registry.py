@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import conversations
+from palimpsest.llm import conversations, mixing, tokens
 from palimpsest.plans import problems
 from palimpsest.util import table
 
@@ -29,6 +29,24 @@ def p6_sessions(spark, sf_dir):
     return conversations.sessions(e)
 
 
+def p7_ids(spark, sf_dir):
+    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _sizes(spark, sf_dir):
+    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").alias("n_tokens"))
+
+
+def p8_mixture(spark, sf_dir):
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights")).drop("finish")
+
+
+def p8_shares(spark, sf_dir):
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.shares(mixing.mix(_sizes(spark, sf_dir), weights), weights)
+
+
+QUERIES |= {"p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 QUERIES |= {"p6_found": p6_found, "p6_sessions": p6_sessions}
 
 
