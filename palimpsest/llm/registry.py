@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import conversations, mixing, tokens
+from palimpsest.llm import conversations, mixing, neighbours, stuffing, tokens
 from palimpsest.plans import problems
 from palimpsest.util import table
 
@@ -46,6 +46,16 @@ def p8_shares(spark, sf_dir):
     return mixing.shares(mixing.mix(_sizes(spark, sf_dir), weights), weights)
 
 
+def p2_found(spark, sf_dir):
+    rows = table(spark, sf_dir, "memory_embeddings").select(F.col("memory_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbours.pairs(neighbours.nearest(rows))
+
+
+def p9_found(spark, sf_dir):
+    return stuffing.stuffed(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"p2_found": p2_found, "p9_found": p9_found}
 QUERIES |= {"p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 QUERIES |= {"p6_found": p6_found, "p6_sessions": p6_sessions}
 
