@@ -10,7 +10,7 @@ of one vector are searched once and expanded at the end, so a vector held by a t
 cell with more than BLOCK rows is split into blocks on both sides, so every group is bounded and no row is left out.
 
 Defined results: vectors that are null, of another length, all zero or with a null or non-finite number take no part;
-of an identifier that comes with several vectors the least one counts; null identifiers take no part; equal cosines go
+of an identifier that comes with several vectors the one with the least hash counts; null identifiers take no part; equal cosines go
 by the lower identifier; an empty table gives an empty result; other columns are not read.
 """
 
@@ -25,18 +25,20 @@ from pyspark.sql import functions as F
 
 from palimpsest.util import materialize
 
-SAMPLE, CELL, MAX_CELLS, BLOCK, PROBES = 32_768, 256, 4_096, 4_096, 3
+SAMPLE, CELL, MAX_CELLS, BLOCK, PROBES = 32_768, 256, 4_096, 4_096, 2
 SUBSPACES, CENTRES = 16, 16
+#: Most rows (of three short columns, under 100 bytes each) of a broadcast.
+FEW = 500_000
 #: Inner products from here on count; sets how much heavier the parallel error weighs: (d - 1) t^2 / (1 - t^2).
 AIM = 0.4
 
 
 def usable(vectors: DataFrame, identifier: str, vector: str, dim: int) -> DataFrame:
-    """id, vec, h1, h2 of the rows that take part, one per identifier."""
+    """id, vec, h1, h2 of the rows that take part; repeated rows are still in."""
     v = F.col(vector)
     good = v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 3.4e38)) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(identifier).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(identifier).alias("id"), v.cast("array<float>").alias("vec"))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
+    return rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -155,14 +157,17 @@ def _search(codec: Codec, base: np.ndarray, names: np.ndarray, cell: int, querie
 def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64, identifier: str = "id", vector: str = "vec", probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
     """q, n, cos: for each identifier its at most k nearest others with a cosine of at least ``least``."""
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors, identifier, vector, dim), "vectors")
+    every_row = usable(vectors, identifier, vector, dim)
+    # Only hashes are shuffled to settle identifiers and copies; vectors stay where they are read.
+    rows = materialize(every_row.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "identifiers")
     # Copies: one representative, the lowest identifier, and the lowest k + 1 identifiers of each vector.
-    reps = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    distinct = rows.join(reps.select("id"), "id", "left_semi").select("id", "vec")
+    reps = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
     total = reps.count()
     if not total:
         return spark.createDataFrame([], "q string, n string, cos double")
-    part = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()
+    distinct = _representatives(every_row, rows, reps)
+    share = min(1.0, sample / total)  # of the hash range, so about ``sample`` rows whatever the size of the table
+    part = distinct.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toPandas()
     codec = Codec(_stack(part["vec"], dim), int(np.clip(total // CELL, 1, min(MAX_CELLS, max(1, sample // 8)))))
     shared = spark.sparkContext.broadcast(codec)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
@@ -179,7 +184,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
             needed[:, 0] = True
             yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "cells": [list(map(int, r[m])) for r, m in zip(near, needed, strict=True)]})
 
-    placed = materialize(distinct.mapInPandas(place, "id string, vec array<float>, cells array<int>"), "placed")
+    # Placing is cheap; it is done twice rather than written, as a copy of all vectors is not.
+    placed = distinct.mapInPandas(place, "id string, vec array<float>, cells array<int>")
     sizes = placed.groupBy(F.element_at("cells", 1).alias("cell")).count().where(F.col("count") > BLOCK).collect()  # at most MAX_CELLS rows
     blocks = {r.cell: -(-r["count"] // BLOCK) for r in sizes}
     parts = F.lit(1)
@@ -194,6 +200,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
     groups = one.unionAll(bases).unionAll(askers) if blocks else one
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["id", "base", "asks"])
         base, asks = group[group["base"]], group[group["asks"]]
         empty = pd.DataFrame({"q": pd.Series(dtype=str), "n": pd.Series(dtype=str), "cos": pd.Series(dtype=float)})
         if not len(base) or not len(asks):
@@ -205,6 +212,14 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
     return _expand(rows, reps, near, k)
 
 
+def _representatives(every_row: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """id, vec of the representatives. Rows to leave out are few as a rule; they are broadcast if they are at most FEW, else joined by a shuffle."""
+    left_out = every_row.select("id", "h1", "h2").join(reps, ["id", "h1", "h2"], "left_anti").distinct()
+    left_out = materialize(left_out, "left-out")
+    small = F.broadcast(left_out) if left_out.count() <= FEW else left_out
+    return every_row.join(small, ["id", "h1", "h2"], "left_anti").select("id", "vec")
+
+
 def _expand(rows: DataFrame, reps: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """Neighbours of all identifiers from those of the representatives of equal vectors."""
     best = _top(near.select("q", (-F.col("cos")).alias("far"), "n"), "q", ["far", "n"], k)
