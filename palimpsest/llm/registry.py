@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import conversations, mixing, neighbours, stuffing, tokens
+from palimpsest.llm import conversations, mixing, neighbours, pii, stuffing, tokens
 from palimpsest.plans import problems
 from palimpsest.util import table
 
@@ -51,11 +51,29 @@ def p2_found(spark, sf_dir):
     return neighbours.pairs(neighbours.nearest(rows))
 
 
+def _texts(spark, sf_dir):
+    """All texts that may mention people: table_name, record_id, text."""
+    messages = table(spark, sf_dir, "raw_messages").select(F.lit("raw_messages").alias("table_name"), F.col("row_id").cast("string").alias("record_id"), F.col("content").alias("text"))
+    candidates = table(spark, sf_dir, "memory_candidates").select(F.lit("memory_candidates").alias("table_name"), F.col("candidate_id").alias("record_id"), F.col("content").alias("text"))
+    exports = table(spark, sf_dir, "export_conversations").select(F.explode(F.transform("chat_messages", lambda m: F.struct(m["uuid"].alias("uuid"), m["text"].alias("text")))).alias("m"))
+    exports = exports.select(F.lit("export_conversations").alias("table_name"), F.col("m.uuid").alias("record_id"), F.col("m.text").alias("text"))
+    return messages.unionAll(candidates).unionAll(exports)
+
+
+def p5_found(spark, sf_dir):
+    return pii.find(_texts(spark, sf_dir), ["table_name", "record_id"])
+
+
+def p5_redacted(spark, sf_dir):
+    """The texts with placeholders."""
+    return pii.redact(_texts(spark, sf_dir))
+
+
 def p9_found(spark, sf_dir):
     return stuffing.stuffed(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"p2_found": p2_found, "p9_found": p9_found}
+QUERIES |= {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p9_found": p9_found}
 QUERIES |= {"p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 QUERIES |= {"p6_found": p6_found, "p6_sessions": p6_sessions}
 
