@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import problems
+from palimpsest.plans import memory, problems
 
-MODULES = [problems]
+MODULES = [problems, memory]
 
 
 def queries():
