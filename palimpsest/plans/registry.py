@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import memory, problems
+from palimpsest.plans import events, memory, problems
 
-MODULES = [problems, memory]
+MODULES = [problems, memory, events]
 
 
 def queries():
