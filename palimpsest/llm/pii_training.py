@@ -16,7 +16,7 @@ import pandas as pd
 
 from palimpsest.llm import pii
 
-ROWS, HIDDEN, EPOCHS, BATCH, SEED = 24_000, 40, 5, 40, 11
+ROWS, HIDDEN, EPOCHS, BATCH, SEED = 24_000, 40, 8, 40, 11
 
 #: Streets and towns that the texts name.
 TOWNS = "Kellbrook|Saltmere|Tresham|Pine Hollow|North Arden|Lower Fenn|Quarrydale|Eastmoor|Greyford|Unterhagen|Oberfelde?|Wiesloh|Bad Torfau|Valbrume|Montcendre|Saint-Orval|Puerto Calmo|Navaserena|Villasombra"
@@ -24,10 +24,10 @@ GERMAN = r"Dohlenkampstra(?:ß|ss)e|Dohlenkampstr\.|Krümmelbachweg|Reiherhorsts
 FRENCH = r"(?:rue|impasse|place|chemin|avenue|av\.|bd|boulevard) (?:des Hérons|des Cendres|du Tilleul|du Lavoir Neuf|du Vieux Moulin|de la Tourbière)"
 SPANISH = r"(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino)(?: del?)?(?: las?| los)? (?:Alondra|Molino Seco|Olivar Viejo|Abeto|Garzas)"
 _ADDRESS = re.compile(
-    rf"(?<![\w.])\d{{1,3}} (?:[A-Z][\w']+ ){{1,3}}(?:Street|St\b\.?|Road|Rd\b|Avenue|Ave\b|Lane|Blvd|Court)(?:(?:,? (?:Apt|Unit|Flat) \w+)| #\w+)?(?:,? (?:{TOWNS}),?(?: ZZ)? \d{{5}})?"
-    rf"|(?:{GERMAN}) \d{{1,3}}(?: ?[a-z]\b)?(?:, \d{{5}} (?:{TOWNS}))?"
+    rf"(?:{GERMAN}) \d{{1,3}}(?: ?[a-z]\b)?(?:, \d{{5}} (?:{TOWNS}))?"
     rf"|\d{{1,3}}(?: bis| ter)?,? (?:{FRENCH})(?:(?:,| -) \d{{5}} (?:{TOWNS}))?"
-    rf"|(?:{SPANISH}),? (?:nº )?\d{{1,3}}(?:, (?:\dº \w|bajo izq\.))?(?:, \d{{5}} (?:{TOWNS}))?",
+    rf"|(?:{SPANISH}),? (?:nº )?\d{{1,3}}(?:, (?:\dº \w|bajo izq\.))?(?:, \d{{5}} (?:{TOWNS}))?"
+    rf"|(?<![\w.])\d{{1,3}} (?:[A-Z][\w']+ ){{1,3}}(?:Street|St\b\.?|Road|Rd\b|Avenue|Ave\b|Lane|Blvd|Court)(?:(?:,? (?:Apt|Unit|Flat) \w+)| #\w+)?(?:,? (?:{TOWNS}),?(?: ZZ)? \d{{5}})?",
     re.I,
 )
 _EMAIL = re.compile(r"[\w.%+-]+(?:\s?[@＠]\s?|\s?[\[(]at[\])]\s?| at )[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?| dot )[\w-]+)*?(?:\.|\s?[\[(]dot[\])]\s?| dot )(?:example|test|invalid)\b", re.I)
