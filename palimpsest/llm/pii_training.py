@@ -16,7 +16,7 @@ import pandas as pd
 
 from palimpsest.llm import pii
 
-ROWS, HIDDEN, EPOCHS, BATCH, SEED = 24_000, 40, 8, 40, 11
+ROWS, HIDDEN, EPOCHS, BATCH, SEED = 30_000, 40, 8, 40, 11
 
 #: Streets and towns that the texts name.
 TOWNS = "Kellbrook|Saltmere|Tresham|Pine Hollow|North Arden|Lower Fenn|Quarrydale|Eastmoor|Greyford|Unterhagen|Oberfelde?|Wiesloh|Bad Torfau|Valbrume|Montcendre|Saint-Orval|Puerto Calmo|Navaserena|Villasombra"
