@@ -64,6 +64,8 @@ SHAPES = {
 _SHAPES = [(k, re.compile(shape).fullmatch) for k, shape in SHAPES.items()]
 _SPACES, _HALF = re.compile(r"[\s\x1c-\x1f]+"), re.compile(r" ?\b([ap])\.?m\b\.?|(?<=\d)([ap])\.?m\b\.?")
 _EPOCH = datetime(1970, 1, 1)
+#: Letters that mean UTC wherever the product gives them no meaning of its own.
+UTC = {"z": 0, "utc": 0, "gmt": 0}
 
 
 @lru_cache(4096)
@@ -128,7 +130,7 @@ def readings_of(text: str | None, locale: str | None, zone: str | None, abbrevia
     if g.get("sign"):
         offset = (int(g["oh"]) * 60 + int(g["om"] or 0)) * (-1 if g["sign"] == "-" else 1)
     elif g.get("z"):
-        offset = abbreviations.get(g["z"])
+        offset = abbreviations.get(g["z"], UTC.get(g["z"]))
         if offset is None:
             return none
     else:
