@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.operators import graph, retrieval
-from palimpsest.util import table
+from palimpsest.util import running_totals, table
 
 QUERIES, SQL = {}, {}
 
@@ -251,9 +251,8 @@ def win_latest_delivery(spark, sf_dir):
 @query("win_budget", "SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents WHERE source IS NOT NULL) WHERE used <= 4000")
 def win_budget(spark, sf_dir):
     """The documents of each source, in order, up to 4000 characters."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", "n_chars")
-    return d.withColumn("used", F.sum(F.coalesce("n_chars", F.lit(0))).over(w)).where("used <= 4000").drop("n_chars")
+    d = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    return running_totals(d, ["source"], ["doc_id"], {"used": F.col("n")}, "budget").where("used <= 4000").drop("n")
 
 
 @query("top_pending", "SELECT candidate_id, importance, confidence, created_at FROM memory_candidates WHERE status = 'pending' ORDER BY importance DESC NULLS LAST, confidence DESC NULLS LAST, created_at, candidate_id LIMIT 50")

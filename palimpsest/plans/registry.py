@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import events, memory, problems
+from palimpsest.plans import events, memory, problems, quality
 
-MODULES = [problems, memory, events]
+MODULES = [problems, memory, events, quality]
 
 
 def queries():
