@@ -17,10 +17,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, id, tf, len."""
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """term, id, tf, len; only of the given terms (term), which are looked up before anything is shuffled if Spark finds them small."""
     words = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    words = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    words = words if terms is None else words.join(terms, "term", "left_semi")
+    return words.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     lengths = docs.where(F.col(text).isNotNull()).select(F.size(tokens(F.col(text))).alias("len")).where("len > 0")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = postings(docs, key, text, asked.select("term").distinct())
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
