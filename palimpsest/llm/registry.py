@@ -73,6 +73,12 @@ def p9_found(spark, sf_dir):
     return stuffing.stuffed(table(spark, sf_dir, "documents"))
 
 
+def p9_statistics(spark, sf_dir):
+    """Mean PMI and repetition of each distinct text; no text is dropped by them."""
+    return stuffing.statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"p9_statistics": p9_statistics}
 QUERIES |= {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p9_found": p9_found}
 QUERIES |= {"p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 QUERIES |= {"p6_found": p6_found, "p6_sessions": p6_sessions}

@@ -1,9 +1,11 @@
-"""Keyword-stuffed and link-list pages, by mean pointwise mutual information of neighbouring words.
+"""Keyword-stuffed and link-list pages, by the form of their text; mean pointwise mutual information of neighbouring words.
 
-Each document's distinct pairs of neighbouring words are counted over the corpus, once per document. A document is a
-suspect if its neighbours have little to do with each other (low mean PMI: word salad, lists of unrelated links and
-products) or if few collocations are repeated over and over. Suspects then get an exact look at their form: what share
-of the words stands in sentences, and what share in keywords, bare links, tags, attributes and offers.
+``stuffed`` gives every text an exact look at its form: what share of the words stands in sentences, and what share in
+keywords, bare links, tags, attributes and offers. The answer depends on the text alone, not on the rest of the corpus.
+
+``statistics`` counts each document's distinct pairs of neighbouring words over the corpus, once per document. A low mean
+PMI (word salad, lists of unrelated links and products) or few collocations repeated over and over are signs of such
+pages, but a page copied often raises its own PMI, so the signs drop no text from the look at its form.
 
 Defined results: null, empty and blank texts, and texts without two words, are never spam; equal texts get the same
 answer; zero-width characters and case make no difference; an empty table gives an empty result; every row gives at
@@ -16,15 +18,13 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.util import materialize
 
-#: A suspect has a mean PMI outside of (INCOHERENT, BOUND), or at least the share REPEATED of its pairs in collocations seen three times in it,
-#: or the share STUFFED in collocations that make up three percent of it each.
-INCOHERENT, BOUND, REPEATED, STUFFED = -0.3, 1.0, 0.3, 0.06
 #: A token is a link, a word (longer runs of letters are cut at 40), a number, a line end or a sign. All links are one token, and all numbers.
 LINK = r"(?iU)(?:https?://|www\.)\S+|(?<![\w@-])[\w-]+(?:\.[\w-]+)*\.(?:(?:example|test|invalid|com|org|net|info|biz|shop)(?:/\S*)?|[a-z]{2}/\S+)(?![\w@])"
 TOKEN = r"(?U)⟨url⟩|[\p{L}\p{M}]{1,40}|\d+|\n|[^\w\s]"
@@ -90,6 +90,11 @@ def share_of_spam(text: str) -> tuple[float, float]:
     return spam, prose
 
 
+def _enough(text: str) -> bool:
+    """Whether there are two words or links."""
+    return len(_WORDS.findall(_LINK.sub(" ", text))) + len(_LINK.findall(text)) > 1
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """t1, t2 (hash of the text), words, mean_pmi, repeated, stuffed of each distinct text with two words or more; counts are over all rows, once per row."""
     clean = F.regexp_replace(F.lower(F.regexp_replace(F.col(text), HIDDEN, "")), LINK, " ⟨url⟩ ")
@@ -115,12 +120,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def stuffed(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """The identifiers of the spam."""
-    rows = docs.select(identifier, text)
-    suspects = statistics(rows, text).where((F.col("mean_pmi") < INCOHERENT) | (F.col("mean_pmi") > BOUND) | (F.col("repeated") >= REPEATED) | (F.col("stuffed") >= STUFFED)).select("t1", "t2")
 
     @F.pandas_udf("boolean")
     def larger_part(texts: pd.Series) -> pd.Series:
-        return pd.Series([s > p for s, p in map(share_of_spam, texts)], dtype=bool)
+        answers = {t: _enough(t) and np.greater(*share_of_spam(t)) for t in texts.unique()}
+        return texts.map(answers).astype(bool)
 
-    keyed = rows.where(F.col(text).isNotNull()).withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
-    return keyed.join(suspects, ["t1", "t2"], "left_semi").where(larger_part(text)).select(identifier)
+    return docs.select(identifier, text).where(F.col(text).isNotNull()).where(larger_part(text)).select(identifier)

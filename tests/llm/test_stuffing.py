@@ -34,3 +34,16 @@ def test_pmi(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a c b")], "doc_id bigint, text string")
     got = sorted(round(r.mean_pmi, 6) for r in stuffing.statistics(df).collect())
     assert got == sorted([round(math.log(2 * 3 / 9), 6), round((math.log(1 * 3 / 3) + math.log(1 * 3 / 3)) / 2, 6)])
+
+
+def test_a_page_copied_to_a_third_of_all_rows(spark):
+    """Copies bring the mean PMI of a page to log 3; the answer must not depend on them, nor on the size of the corpus."""
+    prose = [f"{PROSE[i % 3][:-1]} and we looked at note {i}, because number {i} was still open." for i in range(60)]
+    page = "\n".join(["review tree", "summary cache", "touch team", "asked export", "laptop failed", "week last", "schema older", "involved queue", "cold slow", "start check"])
+    link = "\n".join(["https://a.example/x lamp", "www.b.example case"])
+    for spam in (page, link):
+        for copies in (1, 30):
+            df = spark.createDataFrame(list(enumerate([spam] * copies + prose)), "doc_id bigint, text string")
+            assert sorted(r.doc_id for r in stuffing.stuffed(df).collect()) == list(range(copies))
+    one = spark.createDataFrame([(1, "https://a.example/x"), (2, "word."), (3, "7 : 9")], "doc_id bigint, text string")
+    assert stuffing.stuffed(one).collect() == []
