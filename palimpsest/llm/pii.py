@@ -1,12 +1,12 @@
 """Personal data in free text: found by a character-level bidirectional LSTM with CRF transitions, replaced by typed placeholders.
 
-Texts are read whole. Stretches that can hold personal data (an at sign, long digits, a street word, a title, or a word
-that is rare in the corpus) are covered by overlapping windows; the network tags every character of every window, and
-where windows overlap, each character takes the tag of the window whose edge is farther away, over the whole text.
+Texts are read whole: overlapping windows cover every character, and the network tags every character of every window.
+Where windows overlap, each character takes the tag of the window whose edge is farther away, over the whole text.
+(Training takes its windows about an at sign, long digits, a street word, a title, or a word that is rare in the corpus.)
 Spans of the tags are then checked: mail addresses, phones and numbers must have their form, and all ends are moved to
 word borders. The weights (``pii_model.npz``) come from ``pii_training.py``, in numpy, from labelled spans.
 
-Words are ordinary if at least one text in ORDINARY holds them. That set is broadcast: it has at most ORDINARY times the
+Words are ordinary if at least one distinct text in ORDINARY holds them; they only settle the ends of names and addresses. That set is broadcast: it has at most ORDINARY times the
 mean number of words of a text, whatever the corpus.
 
 Defined results: null, empty and blank texts have no mentions; mentions never overlap; positions count code points;
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.util import materialize
+
 TYPES = ["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME"]
 TAGS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
 MODEL = Path(__file__).with_name("pii_model.npz")
@@ -115,6 +117,12 @@ def windows(text: str, ordinary: frozenset[str]) -> list[tuple[int, int]]:
     return cut
 
 
+def everywhere(text: str) -> list[tuple[int, int]]:
+    """Overlapping windows over the whole text."""
+    starts = range(0, max(len(text) - OVERLAP, 1), WINDOW - OVERLAP)
+    return [(a, min(a + WINDOW, len(text))) for a in starts] if text and not text.isspace() else []
+
+
 # -- network ------------------------------------------------------------------
 class Tagger:
     """wx: (2, N_CHARS, 4H) input gates by character; wh: (2, H, 4H); wo: (2H, K); b: (K,); move: (K, K); first, last: (K,)."""
@@ -152,8 +160,18 @@ class Tagger:
         return self.states(x, 0) @ self.w["wo"][:h] + self.states(x[::-1], 1)[::-1] @ self.w["wo"][h:] + self.w["b"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags (T, B) by Viterbi."""
+        """Best tags (T, B) by Viterbi; it is left out where no tag can gain on O anywhere, so that the best path is O throughout."""
         e = self.emissions(x)
+        move, first, last = self.w["move"], self.w["first"], self.w["last"]
+        # The most that a step into, out of, or at the ends of a mention can gain over a step from O to O.
+        most = max(move[:, 1:].max() - move[0, 0], 0) + max(move[1:, 0].max() - move[0, 0], 0) + max((first[1:] - first[0]).max(), 0) + max((last[1:] - last[0]).max(), 0)
+        open_ = np.flatnonzero(((e[:, :, 1:].max(2) - e[:, :, 0]) + most >= -1e-3).any(0))
+        tags = np.zeros(e.shape[:2], np.int8)
+        if len(open_):
+            tags[:, open_] = self.viterbi(e[:, open_])
+        return tags
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
         t, n, k = e.shape
         move = self.w["move"]
         best = e[0] + self.w["first"]
@@ -174,7 +192,7 @@ def tag_texts(tagger: Tagger, texts: list[str], ordinary: frozenset[str], batch:
     """Mentions (type, start, end) of each text."""
     coded, places = [], []
     for i, text in enumerate(texts):
-        if found := windows(text, ordinary):
+        if found := everywhere(text):
             c = classes(text)
             for a, b in found:
                 coded.append(c[a:b])
@@ -255,9 +273,11 @@ def _name(text: str, a: int, b: int, ordinary: frozenset[str]) -> tuple[int, int
     plain = lambda w: text[w[0] : w[1]].lower()
     while words and plain(words[0]) in TITLES and not (len(plain(words[0])) == 1 and len(words) == 2):
         words.pop(0)
-    while len(words) > 2 and plain(words[-1]) in ordinary:
+    # A capitalised word stays while the other end is not capitalised: family names can be words of ordinary speech.
+    off = lambda w, other: plain(w) in ordinary and not (text[w[0]].isupper() and text[other[0]].islower())
+    while len(words) > 2 and off(words[-1], words[0]):
         words.pop()
-    while len(words) > 2 and plain(words[0]) in ordinary:
+    while len(words) > 2 and off(words[0], words[-1]):
         words.pop(0)
     if not words:
         return None
@@ -321,8 +341,9 @@ def settle(text: str, spans: list[tuple[str, int, int]], ordinary: frozenset[str
 
 # -- Spark --------------------------------------------------------------------
 def ordinary_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
-    """Words that at least one text in ORDINARY holds, and at least LEAST texts; over all rows."""
-    words = texts.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([\p{L}]{3,40})"), 1))).alias("w"))
+    """Words that at least one distinct text in ORDINARY holds, and at least LEAST of them; copies of a text count once."""
+    texts = materialize(texts.where(F.col(text).isNotNull()).select(text).distinct().select(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([\p{L}]{3,40})"), 1)).alias("words")), "words")
+    words = texts.select(F.explode("words").alias("w"))
     total = texts.count()
     return frozenset(r.w for r in words.groupBy("w").count().where(F.col("count") >= max(LEAST, total / ORDINARY)).select("w").toLocalIterator())
 

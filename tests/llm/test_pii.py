@@ -53,3 +53,24 @@ def test_frames(spark):
     out = pii.redact(df, ordinary=ORDINARY).collect()
     assert sorted((r.id, str(r.text)) for r in out) == sorted([("a", "I spoke with [NAME] about it."), ("b", "None"), ("c", ""), ("d", "  "), ("a", "I spoke with [NAME] about it."), ("e", CONTEXT)])
     assert pii.find(df.limit(0), ["id"]).collect() == []
+
+
+def test_a_text_with_a_name_as_a_third_of_all_rows(spark):
+    """Its words are in many rows, but in one text; no stretch is left unread for being made of common words."""
+    text = "the review of the queue is assigned to Fendris Winter for now."
+    rest = [f"{CONTEXT} this is note {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 3}" for i in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([text] * 40 + rest)], "id int, text string")
+    got = pii.find(df, ["id"]).where("id < 40").collect()
+    at = text.index("Fendris")
+    assert sorted((r.id, r.pii_type, r.start_pos, r.end_pos) for r in got) == [(i, "NAME", at, at + 14) for i in range(40)]
+    common = frozenset(text.lower().replace(".", "").split())
+    assert [(k, text[a:b]) for k, a, b in pii.tag_texts(pii.Tagger.load(), [text], common)[0]] == [("NAME", "Fendris Winter")]
+    assert pii._name("asked Fendris Winter", 0, 20, frozenset({"asked", "winter"})) == (6, 20)
+
+
+def test_left_out_paths_are_all_o():
+    tagger, texts = pii.Tagger.load(), pd.read_parquet("/root/testdata/sf0.001/raw_messages.parquet", columns=["content"])["content"].dropna().tolist()[:400]
+    x = np.zeros((pii.WINDOW, len(texts)), np.uint8)
+    for i, t in enumerate(texts):
+        x[: len(t[: pii.WINDOW]), i] = pii.classes(t[: pii.WINDOW])
+    assert (tagger.decode(x) == tagger.viterbi(tagger.emissions(x))).all()
