@@ -4,30 +4,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.operators import retrieval
 from palimpsest.plans import memory
-from palimpsest.util import table
+from palimpsest.util import materialize, table
 
 QUERIES, SQL = {}, {}
 
 
+#: Characters of the pieces by which texts are looked up.
+PIECE = 8
+
+
+def pieces(text: Column) -> Column:
+    """The distinct runs of PIECE characters; none of a shorter text."""
+    return F.when(F.length(text) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - PIECE + 1), lambda i: F.substr(text, i, F.lit(PIECE)))))
+
+
+def holders(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, id of every document (id, text) that contains a query (query_id, query), case aside.
+
+    A document holds each run of characters of what it contains, so the query's rarest run finds all candidates, and
+    the whole query is then looked for in them. Equal queries are looked for once. Queries shorter than a run have
+    none; they are compared with every document.
+    """
+    queries = asked.select("query_id", F.lower("query").alias("q"))
+    texts = docs.select("id", F.lower("text").alias("t"))
+    runs = queries.select("q").distinct().select("q", F.explode(pieces(F.col("q"))).alias("run"))
+    found = texts.select("id", F.explode(pieces(F.col("t"))).alias("run")).join(runs.select("run").distinct(), "run", "left_semi")
+    found = materialize(found, "runs")
+    df = found.groupBy("run").agg(F.count("*").alias("df"))
+    # A query with a run that no document holds has no gold.
+    rarest = runs.join(df, "run", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("r")).where("r.df > 0").select("q", F.col("r.run").alias("run"))
+    near = rarest.join(found, "run").join(texts, "id").where(F.contains("t", "q")).select("q", "id")
+    short = queries.where(F.length("q") < PIECE).select("q").distinct().join(texts, F.contains("t", "q")).select("q", "id")
+    return queries.join(near.unionAll(short), "q").select("query_id", "id")
+
+
 def evl_metrics(spark, sf_dir):
     """Of the queries with gold (documents that hold the whole title): how many have a hit at 1 and in ten, the mean reciprocal rank and the mean recall.
 
-    Gold is looked for among the documents that hold the rarest word of the query, not among all pairs.
+    Gold is every document that contains the title anywhere, also where the title begins or ends inside of a word.
     """
     asked = memory._asked(spark, sf_dir).where("length(trim(query)) > 0")
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.select("query_id", "query", F.explode(F.array_distinct(retrieval.tokens(F.col("query")))).alias("term")).join(df, "term")
-    rarest = terms.groupBy("query_id", "query").agg(F.min(F.struct("df", "term")).alias("t")).select("query_id", "query", F.col("t.term").alias("term"))
-    near = rarest.join(words, "term").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    gold = near.where(F.contains(F.lower("text"), F.lower("query"))).select("query_id", "id")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    gold = holders(docs, asked)
     best = retrieval.bm25(table(spark, sf_dir, "documents"), asked, 10)
     judged = gold.join(best, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("gold"), F.count("rank").alias("hits"), F.min("rank").alias("first"))
     return judged.agg(F.count("*").alias("queries"), F.count_if(F.col("first") == 1).alias("hit_1"), F.count("first").alias("hit_10"), S.rounded(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0)))).alias("mrr"), S.rounded(F.avg(F.col("hits") / F.col("gold"))).alias("recall"))

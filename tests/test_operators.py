@@ -126,3 +126,13 @@ def test_upsert_and_json_lines(spark, tmp_path):
     got = transcripts.json_lines(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert [(r.ordinal, r.role, r.content, r.created_at, r.external_id) for r in got] == [(0, "user", "hi", None, "7"), (1, "ai", "yes", "now", None)]
     assert transcripts.markdown(spark, str(tmp_path)).first().content.startswith("prose")
+
+
+def test_holders_of_titles_that_end_inside_a_word(spark):
+    from palimpsest.plans import quality
+
+    texts = ["Run the backup script by hand.", "the BACKUP script b", "the backup plan", "a-b", "!!!", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    titles = ["the backup script b", "ackup scri", "A-B", "!!!", "not anywhere at all", "b", "The backup script b"]
+    got = quality.holders(docs, spark.createDataFrame(list(enumerate(titles)), "query_id int, query string")).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q, a in enumerate(titles) for i, t in enumerate(texts) if a.lower() in t.lower()]
