@@ -98,10 +98,9 @@ QUERIES["ret_mmr"] = ret_mmr
 
 
 def gra_shared_entities(spark, sf_dir):
-    """Candidates that share two entities or more, with the Jaccard likeness of their entities, counted through pairs of entities that occur together.
+    """Candidates of one conversation that share two entities or more, with the Jaccard likeness of their entities.
 
-    A candidate holds few entities, so it gives few pairs; an entity of a third of all candidates joins with nothing but
-    its own pairs. Pairs of one key are limited to the conversation they come from.
+    The links of all candidates that share an entity are those of gra_entity_links.
     """
     c = table(spark, sf_dir, "memory_candidates").where("conversation_id is not null").select("candidate_id", "conversation_id", F.array_distinct("entities").alias("e")).where("size(e) > 1")
     one = c.select("conversation_id", F.col("candidate_id").alias("a"), F.size("e").alias("na"), F.explode("e").alias("entity"))
@@ -116,6 +115,40 @@ SELECT x.candidate_id AS a, y.candidate_id AS b, floor(len(list_intersect(x.e, y
 FROM c x JOIN c y ON x.conversation_id = y.conversation_id AND x.candidate_id < y.candidate_id WHERE len(list_intersect(x.e, y.e)) >= 2"""
 
 
+def _entity_sets(spark, sf_dir):
+    """candidate_id, set_id (hash of the sorted distinct entities), e; candidates without entities have no set."""
+    sets = table(spark, sf_dir, "memory_candidates").select("candidate_id", F.array_sort(F.array_distinct(F.filter("entities", lambda x: x.isNotNull()))).alias("e")).where("size(e) > 0")
+    return sets.select("candidate_id", F.sha2(F.to_json("e"), 256).alias("set_id"), "e")
+
+
+#: Shares of an entity's sets that meet one another in tasks of their own.
+SALTS = 8
+
+
+def gra_entity_links(spark, sf_dir):
+    """Shared-entity links, whole: the pairs of distinct entity sets that share an entity, with their Jaccard likeness.
+
+    Two candidates are linked if their sets (gra_entity_members) are a pair here, whatever their conversations; a set is
+    paired with itself if two candidates or more have it. Candidates with equal sets are one set, so that copies make no
+    pairs, and the sets of one entity meet in SALTS times SALTS parts, so that a hot entity is spread over many tasks.
+    """
+    sets = materialize(_entity_sets(spark, sf_dir).groupBy("set_id", "e").agg(F.count("*").alias("members")), "sets")
+    one = sets.select(F.col("set_id").alias("a"), F.size("e").alias("na"), F.explode("e").alias("entity"), F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).alias("i"))
+    two = one.select(F.col("a").alias("b"), F.col("na").alias("nb"), "entity", F.col("i").alias("j"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    met = one.withColumn("j", every).join(two.withColumn("i", every), ["entity", "i", "j"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    pairs = met.select("a", "b", S.rounded(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+    return pairs.unionAll(sets.where("members > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard")))
+
+
+def gra_entity_members(spark, sf_dir):
+    """The candidates of each entity set of gra_entity_links."""
+    return _entity_sets(spark, sf_dir).select("set_id", "candidate_id")
+
+
+QUERIES |= {"gra_entity_links": gra_entity_links, "gra_entity_members": gra_entity_members}
+
+
 def rap_terms(spark, sf_dir):
     """The three terms that tell each source's documents from the others: frequency by log(1 + documents / documents with the term)."""
     d = table(spark, sf_dir, "documents").where("text is not null and source is not null")

@@ -136,3 +136,18 @@ def test_holders_of_titles_that_end_inside_a_word(spark):
     titles = ["the backup script b", "ackup scri", "A-B", "!!!", "not anywhere at all", "b", "The backup script b"]
     got = quality.holders(docs, spark.createDataFrame(list(enumerate(titles)), "query_id int, query string")).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q, a in enumerate(titles) for i, t in enumerate(texts) if a.lower() in t.lower()]
+
+
+def test_entity_links_of_all_candidates(spark):
+    """Links by sets and members against all pairs of candidates, also of different or no conversations and with one entity."""
+    from conftest import DATA
+
+    from palimpsest.plans import quality
+
+    c = [(r.candidate_id, {e for e in r.entities or [] if e is not None}) for r in spark.read.parquet(f"{DATA}/memory_candidates.parquet").select("candidate_id", "entities").collect()]
+    want = {(x, y): len(a & b) / len(a | b) for x, a in c for y, b in c if x < y and a & b}
+    members = {}
+    for r in quality.gra_entity_members(spark, DATA).collect():
+        members.setdefault(r.set_id, []).append(r.candidate_id)
+    got = [(min(x, y), max(x, y), r.jaccard) for r in quality.gra_entity_links(spark, DATA).collect() for x in members[r.a] for y in members[r.b] if r.a != r.b or x < y]
+    assert len(got) == len(want) > 0 and all(abs(want[x, y] - j) < 1e-4 for x, y, j in got)
