@@ -95,17 +95,44 @@ def calibrated_gap(gaps: DataFrame, least: float = 60.0) -> float:
     return max(least, float(2**valley) * 1.5)
 
 
+def _numbered(events: DataFrame, gap: float | None) -> DataFrame:
+    """channel, at, id, role, begins, session_no of the rows with channel and time."""
+    usable = events.where("channel is not null and at is not null").select("channel", "at", "id", "role")
+    gaps = materialize(_gaps(usable), "gaps")
+    gap = calibrated_gap(gaps) if gap is None else gap
+    begins = F.coalesce((F.col("gap") > gap), F.lit(True)).cast("int")
+    return running_totals(gaps.select("channel", "at", "id", "role", begins.alias("begins")), ["channel"], ["at", "id"], {"session_no": F.col("begins")}, "sessions")
+
+
+def session_turns(events: DataFrame, gap: float | None = None) -> DataFrame:
+    """channel, session_no, turn_no, id, role: the turns of the sessions with reciprocal replies, in order; session_no as in the channel, turn_no from 0.
+
+    events as for sessions(), each message once. A role that is missing or unknown is inferred: user and assistant take
+    turns from the last known one in the session on, else back from the first known one, else from user on.
+    """
+    key = ["channel", "session_no"]
+    talk = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    unknown = ~F.coalesce(F.col("role").isin(ALLOWED), F.lit(False))
+    turn = unknown | F.coalesce(F.col("role").isin(TURNS), F.lit(False))
+    numbered = _numbered(events, gap).select(*key, "at", "id", "role", talk.alias("talk"), unknown.alias("unknown"), turn.alias("is_turn"))
+    counted = running_totals(numbered, key, ["at", "id"], {"pos": (F.col("talk") | F.col("unknown")).cast("int"), "known": F.col("talk").cast("int"), "turn": F.col("is_turn").cast("int")}, "session-turns")
+    counted = materialize(counted.where("is_turn"), "session-turns")
+    near = counted.where("talk").select(*key, F.col("known").alias("near"), F.col("pos").alias("near_pos"), F.col("role").alias("near_role"))
+    unknowns = counted.where("unknown").withColumn("near", F.greatest("known", F.lit(1))).join(near, [*key, "near"], "left")
+    as_near = (F.coalesce(F.col("pos") - F.col("near_pos"), F.col("pos") - 1) % 2) == 0
+    role = F.when(as_near == (F.coalesce("near_role", F.lit("user")) == "user"), "user").otherwise("assistant")
+    columns = [*key, "at", "turn", "id"]
+    turns = materialize(counted.where("not unknown").select(*columns, "role").unionAll(unknowns.select(*columns, role.alias("role"))), "turns")
+    replied = turns.groupBy(*key).agg(F.min(F.when(F.col("role") == "user", F.struct("at", "id"))).alias("asked"), F.max(F.when(F.col("role") == "assistant", F.struct("at", "id"))).alias("answered")).where("answered > asked").select(*key)
+    return turns.join(replied, key, "left_semi").select(*key, (F.col("turn") - 1).cast("int").alias("turn_no"), "id", "role")
+
+
 def sessions(events: DataFrame, gap: float | None = None) -> DataFrame:
     """channel, session_no, n, n_user, n_assistant, start_us, end_us of the sessions with reciprocal replies.
 
     events: channel, at (micros), id (unique), role. Rows without channel or time belong to no session. A session counts if the user spoke and an assistant answered later.
     """
-    usable = events.where("channel is not null and at is not null").select("channel", "at", "id", "role")
-    gaps = materialize(_gaps(usable), "gaps")
-    gap = calibrated_gap(gaps) if gap is None else gap
-    begins = F.coalesce((F.col("gap") > gap), F.lit(True)).cast("int")
-    numbered = running_totals(gaps.select("channel", "at", "id", "role", begins.alias("begins")), ["channel"], ["at", "id"], {"session_no": F.col("begins")}, "sessions")
-    out = numbered.groupBy("channel", "session_no").agg(
+    out = _numbered(events, gap).groupBy("channel", "session_no").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("role") == "user", 1)).alias("n_user"), F.count(F.when(F.col("role") == "assistant", 1)).alias("n_assistant"),
         F.min(F.when(F.col("role") == "user", F.col("at"))).alias("asked"), F.max(F.when(F.col("role") == "assistant", F.col("at"))).alias("answered"),
         F.min("at").alias("start_us"), F.max("at").alias("end_us"),

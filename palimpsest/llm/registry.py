@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.llm import conversations, mixing, neighbours, pii, stuffing, tokens
+from palimpsest.operators import delivery
 from palimpsest.plans import problems
 from palimpsest.util import table
 
@@ -24,9 +25,10 @@ def p6_found(spark, sf_dir):
 
 
 def p6_sessions(spark, sf_dir):
-    """Sessions of each project of the ingested events, split at calibrated gaps."""
-    e = table(spark, sf_dir, "ingest_events").select(F.coalesce("project", "conversation_id").alias("channel"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("at"), F.col("delivery_id").alias("id"), conversations.role_of(F.col("role")).alias("role"))
-    return conversations.sessions(e)
+    """The turns of the sessions of each project of the ingested events, split at calibrated gaps; one delivery of each message."""
+    once = delivery.exactly_once(spark, table(spark, sf_dir, "ingest_events"))
+    e = once.select(F.coalesce("project", "conversation_id").alias("channel"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("at"), F.col("delivery_id").alias("id"), conversations.role_of(F.col("role")).alias("role"))
+    return conversations.session_turns(e).withColumnRenamed("id", "delivery_id")
 
 
 def p7_ids(spark, sf_dir):

@@ -32,3 +32,22 @@ def test_mixture(spark):
     assert {r.source: (round(r.actual_share, 2), r.most_used <= r.max_repeats) for r in mixing.shares(mixed, weights).where("tokens > 0").collect()} == {"big": (0.7, True), "small": (0.3, True)}
     assert mixed.groupBy("doc_id", "copy_no").count().where(F.col("count") > 1).count() == 0
     assert mixing.mix(docs.limit(0), weights).collect() == []
+
+
+def test_session_turns_with_inferred_roles(spark):
+    roles = {"a": [None, "", "user", "who", None, "system", "x", "event", "assistant"], "b": [None, None], "c": ["user", "user"], "d": ["assistant", None]}
+    rows = [(c, i * 1_000_000, i, r) for c, of in roles.items() for i, r in enumerate(of)]
+    got = conversations.session_turns(spark.createDataFrame(rows, "channel string, at bigint, id bigint, role string"), 60.0).collect()
+    by = {c: [(r.turn_no, r.id, r.role) for r in sorted(got, key=lambda r: r.turn_no) if r.channel == c] for c in roles}
+    u, a = "user", "assistant"
+    assert by["a"] == [(0, 0, u), (1, 1, a), (2, 2, u), (3, 3, a), (4, 4, u), (5, 5, "system"), (6, 6, a), (7, 8, a)]
+    assert by["b"] == [(0, 0, u), (1, 1, a)] and by["c"] == by["d"] == []
+
+
+def test_sessions_take_one_delivery_of_each_message(spark):
+    import __spark_entry__
+    from conftest import DATA
+
+    turns = __spark_entry__.queries()["p6_sessions"](spark, DATA)
+    assert turns.columns == ["channel", "session_no", "turn_no", "delivery_id", "role"]
+    assert turns.count() > 0 == turns.join(__spark_entry__.queries()["p4_found"](spark, DATA), "delivery_id").count()
