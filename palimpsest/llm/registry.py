@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import conversations, mixing, neighbours, pii, stuffing, tokens
 from palimpsest.operators import delivery
 from palimpsest.plans import problems
-from palimpsest.util import table
+from palimpsest.util import materialize, table
 
 QUERIES, SQL = {}, {}
 
@@ -76,8 +76,8 @@ def p9_found(spark, sf_dir):
 
 
 def p9_statistics(spark, sf_dir):
-    """Mean PMI and repetition of each distinct text; no text is dropped by them."""
-    return stuffing.statistics(table(spark, sf_dir, "documents"))
+    """What the pairs of neighbouring words say of each distinct text."""
+    return stuffing.statistics(materialize(stuffing.distinct_texts(table(spark, sf_dir, "documents")), "texts"))
 
 
 QUERIES |= {"p9_statistics": p9_statistics}

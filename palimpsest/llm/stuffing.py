@@ -1,15 +1,20 @@
-"""Keyword-stuffed and link-list pages, by the form of their text; mean pointwise mutual information of neighbouring words.
+"""Keyword-stuffed and link-list pages: pointwise mutual information of neighbouring words, repeated collocations, then an exact look.
 
-``stuffed`` gives every text an exact look at its form: what share of the words stands in sentences, and what share in
-keywords, bare links, tags, attributes and offers. The answer depends on the text alone, not on the rest of the corpus.
+``statistics`` counts all pairs of neighbouring words over the corpus, each distinct text once. In a text, a pair is
+incoherent if no other text has it, or if its normalised PMI (without the text's own share of the counts) is under NORMAL
+times the mean of the corpus; it is overdone if the text says it again and again. Word salad, lists of unrelated links and
+products consist of the first, stuffed keywords of the second. Texts with SUSPECT of their pairs in either are suspects.
 
-``statistics`` counts each document's distinct pairs of neighbouring words over the corpus, once per document. A low mean
-PMI (word salad, lists of unrelated links and products) or few collocations repeated over and over are signs of such
-pages, but a page copied often raises its own PMI, so the signs drop no text from the look at its form.
+``stuffed`` takes an exact look at the form of the suspects, and of no other text: what share of their words stands in
+sentences, and what share in keywords, bare links, tags, attributes and offers.
+
+Pairs are counted in numpy before they are shuffled, so a pair that a third of all texts hold is one row of each batch.
+The KNOWN commonest pairs (a bound, whatever the corpus) are broadcast and looked up where a text is read; the others are
+joined through a shuffle, and as they are rare, no key of that join is hot. Every text is counted and judged whole.
 
 Defined results: null, empty and blank texts, and texts without two words, are never spam; equal texts get the same
-answer; zero-width characters and case make no difference; an empty table gives an empty result; every row gives at
-most one row; other columns are not read.
+answer, and copies don't change the statistics; zero-width characters and case make no difference; an empty table gives
+an empty result; every row gives at most one row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,18 +22,29 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.util import materialize
-
-#: A token is a link, a word (longer runs of letters are cut at 40), a number, a line end or a sign. All links are one token, and all numbers.
-LINK = r"(?iU)(?:https?://|www\.)\S+|(?<![\w@-])[\w-]+(?:\.[\w-]+)*\.(?:(?:example|test|invalid|com|org|net|info|biz|shop)(?:/\S*)?|[a-z]{2}/\S+)(?![\w@])"
-TOKEN = r"(?U)⟨url⟩|[\p{L}\p{M}]{1,40}|\d+|\n|[^\w\s]"
-HIDDEN = "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]"
+from palimpsest.util import discard, materialize
+
+#: Share of the corpus's mean normalised PMI under which a pair is incoherent; share of such or overdone pairs that makes a suspect.
+NORMAL, SUSPECT = 0.75, 0.35
+#: A pair is overdone from this many uses and this share of a text's pairs on.
+AGAIN, OFTEN = 2, 0.03
+#: Pairs that are broadcast (24 bytes each), and pairs that a task holds before it hands counts on.
+KNOWN, HELD = 250_000, 2_000_000
+#: Parts into which the pairs of one word are split for the join with the count of that word.
+SALTS = 16
+HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+#: Tokens: runs of letters, numbers (all one token), line ends and signs; links are one token each, all the same.
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|[_\n]")
+_HINT = re.compile(r"//|www\.|\.(?:example|test|invalid|com|org|net|info|biz|shop)|\.[a-z]{2}/")
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Words that hold sentences together, in English, German, Spanish and French.
 GLUE = frozenset(
@@ -51,7 +67,7 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"”)]*\s+|\n+| [•|>›»/*] | :: | - |;\
 
 def share_of_spam(text: str) -> tuple[float, float]:
     """Characters of words in spam forms, and in sentences, code, logs, tables and settings."""
-    text = re.sub(HIDDEN.encode().decode("unicode_escape"), "", unicodedata.normalize("NFKC", text))
+    text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     words = [w.lower() for w in _WORDS.findall(_LINK.sub(" ", text))]
     pairs = Counter(zip(words, words[1:], strict=False))
     # Words that a document says far oftener than sentences say any content word.
@@ -95,35 +111,129 @@ def _enough(text: str) -> bool:
     return len(_WORDS.findall(_LINK.sub(" ", text))) + len(_LINK.findall(text)) > 1
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """t1, t2 (hash of the text), words, mean_pmi, repeated, stuffed of each distinct text with two words or more; counts are over all rows, once per row."""
-    clean = F.regexp_replace(F.lower(F.regexp_replace(F.col(text), HIDDEN, "")), LINK, " ⟨url⟩ ")
-    texts = docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(F.first(text).alias(text), F.count("*").alias("rows"))
-    tokens = F.transform(F.regexp_extract_all(clean, F.lit(f"({TOKEN})"), 1), lambda t: F.when(t.rlike("^[0-9]"), "#").otherwise(t))
-    words = texts.select("t1", "t2", "rows", tokens.alias("w")).where(F.size("w") > 1)
-    words = materialize(words, "words")
-    each = words.select("rows", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("rows").alias("df"))
-    couple = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i.cast("int")).alias("a"), F.element_at("w", (i + 1).cast("int")).alias("b")))
-    pairs = words.select("t1", "t2", "rows", (F.size("w") - 1).alias("size"), F.explode(couple).alias("p")).groupBy("t1", "t2", "rows", "size", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
-    # The pairs of a text are all in one row's explosion, so this grouping is complete before the shuffle by t1.
-    pairs = materialize(pairs.withColumn("h", F.xxhash64("a", "b")), "pairs")
-    df = pairs.groupBy("h").agg(F.sum("rows").alias("both"), F.first("a").alias("a"), F.first("b").alias("b"))
-    left, right = each.select(F.col("word").alias("a"), F.col("df").alias("df_a")), each.select(F.col("word").alias("b"), F.col("df").alias("df_b"))
-    total = words.agg(F.sum("rows").alias("total"))
-    pmi = df.join(left, "a").join(right, "b").crossJoin(F.broadcast(total)).select("h", F.log(F.col("both") * F.col("total") / (F.col("df_a") * F.col("df_b").cast("double"))).alias("pmi"))  # total: one row
-    own = pairs.select("t1", "t2", "size", "h", "n").join(pmi, "h")
-    share = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")
-    return own.groupBy("t1", "t2").agg(
-        (F.sum("n") + 1).alias("words"), (F.sum(F.col("pmi") * F.col("n")) / F.sum("n")).alias("mean_pmi"), share(F.col("n") >= 3).alias("repeated"), share(F.col("n") >= F.greatest(F.lit(3), 0.03 * F.col("size"))).alias("stuffed")
-    )
+class Pairs:
+    """The pairs of neighbouring tokens of texts, by hash. Hashes of tokens are kept, up to a bound."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, left and right token and number of each distinct pair."""
+        text = HIDDEN.sub("", text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower())
+        if _HINT.search(text):
+            text = _LINK.sub(" \N{BALLOT BOX} ", text)
+        found = _TOKEN.findall(text)
+        names = self.names
+        if len(names) > 1_000_000:
+            names.clear()
+        for t in set(found) - names.keys():
+            names[t] = xxhash.xxh64_intdigest("#" if t[0].isdigit() else t)
+        w = np.fromiter((names[t] for t in found), np.uint64, len(found))
+        h, first, n = np.unique(w[:-1] * _MIX[0] + w[1:] * _MIX[1], return_index=True, return_counts=True)
+        return h.view(np.int64), w[:-1][first].view(np.int64), w[1:][first].view(np.int64), n
+
+
+def _merged(parts: list[tuple]) -> pd.DataFrame:
+    h, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    u, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return pd.DataFrame({"h": u, "a": a[first], "b": b[first], "n": np.bincount(at, n, len(u)).astype(np.int64)})
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pairs, parts, size = Pairs(), [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            parts.append(pairs.of(text))
+            size += len(parts[-1][0])
+            if size > HELD:
+                parts = [tuple(_merged(parts)[c].to_numpy() for c in "habn")]
+                size = len(parts[0][0])
+                if size > HELD // 2:  # little was repeated: hand it on
+                    yield pd.DataFrame(dict(zip("habn", parts[0], strict=True)))
+                    parts, size = [], 0
+    if parts:
+        yield _merged(parts)
+
+
+def _npmi(c, e, total):
+    """Normalised PMI of pairs with count c and product e of the counts of their two words, of total pairs; numpy or columns."""
+    log = np.log if isinstance(c, np.ndarray) else F.log
+    return log(c * total / e) / -log(c / total)
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """h, c (uses in distinct texts), e (uses of the left word times those of the right word) of all pairs."""
+    pairs = texts.select("text").mapInPandas(_count, "h bigint, a bigint, b bigint, n bigint").groupBy("h").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("c"))
+    pairs = materialize(pairs.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")), "pairs")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    side = lambda s: pairs.groupBy(s).agg(F.sum("c").alias(f"c_{s}")).select("*", every)
+    return pairs.join(side("a"), ["a", "salt"]).join(side("b"), ["b", "salt"]).select("h", "c", (F.col("c_a").cast("double") * F.col("c_b")).alias("e"))
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """t1, t2 (hashes), text of each distinct text."""
+    return docs.where(F.length(text) > 0).groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(F.first(text).alias("text"))
+
+
+def statistics(texts: DataFrame) -> DataFrame:
+    """t1, t2, pairs, mean_npmi, incoherent, overdone, suspicious (shares of the pairs; the last of either) of distinct texts with a pair."""
+    spark = texts.sparkSession
+    counts = materialize(pair_counts(texts), "pair-counts")
+    total = counts.agg(F.sum("c")).first()[0]
+    if not total:
+        return spark.createDataFrame([], "t1 bigint, t2 bigint, pairs bigint, mean_npmi double, incoherent double, overdone double, suspicious double")
+    normal = NORMAL * counts.agg(F.sum(_npmi(F.col("c"), F.col("e"), F.lit(float(total))) * F.col("c"))).first()[0] / total
+    # The commonest pairs, down to a quarter of an octave of counts with which there are at most KNOWN; the histogram has at most 256 rows.
+    octave = F.floor(F.log2("c") * 4).cast("int")
+    bins, held, least = counts.groupBy(octave.alias("b")).count().orderBy(F.desc("b")).collect(), 0, 1_000
+    for r in bins:
+        held += r["count"]
+        if held > KNOWN:
+            break
+        least = r.b
+    known = counts.where(octave >= least).toPandas().sort_values("h")
+    shared = spark.sparkContext.broadcast(tuple(known[c].to_numpy() for c in ("h", "c", "e")))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, (kh, kc, ke) = Pairs(), shared.value
+        ends = np.append(kh, 0)
+        for batch in batches:
+            rows = []
+            for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"], strict=True):
+                h, _, _, n = pairs.of(text)
+                if not len(h):
+                    continue
+                at = np.searchsorted(kh, h)
+                here = (at < len(kh)) & (ends[at] == h)
+                c, e, k = kc[at[here]], ke[at[here]], n[here]
+                over = n >= np.maximum(AGAIN, OFTEN * n.sum())
+                low = (c == k) | (_npmi(np.maximum(c - k, 0.5), e, total) < normal)
+                rows.append((t1, t2, int(n.sum()), float((_npmi(c.astype(float), e, total) * k).sum()), int(k[low].sum()), int(n[over].sum()), int(k[low & ~over[here]].sum()), h[~here].tolist(), n[~here].tolist(), over[~here].tolist()))
+            yield pd.DataFrame(rows, columns=["t1", "t2", "pairs", "npmi", "low", "over", "apart", "h", "n", "o"])
+
+    seen = materialize(texts.select("t1", "t2", "text").mapInPandas(judge, "t1 bigint, t2 bigint, pairs bigint, npmi double, low bigint, over bigint, apart bigint, h array<bigint>, n array<bigint>, o array<boolean>"), "judged")
+    sums = seen.drop("h", "n", "o")
+    if len(bins) and bins[-1].b < least:
+        rare = seen.where(F.size("h") > 0).select("t1", "t2", F.explode(F.arrays_zip("h", "n", "o")).alias("p")).select("t1", "t2", "p.h", "p.n", "p.o").join(counts.where(octave < least), "h")
+        low = F.when((F.col("c") == F.col("n")) | (_npmi(F.greatest(F.col("c") - F.col("n"), F.lit(0.5)), F.col("e"), F.lit(float(total))) < normal), F.col("n")).otherwise(0)
+        zero = F.lit(0).cast("bigint")
+        rare = rare.select("t1", "t2", zero.alias("pairs"), (_npmi(F.col("c"), F.col("e"), F.lit(float(total))) * F.col("n")).alias("npmi"), low.alias("low"), zero.alias("over"), F.when(F.col("o"), 0).otherwise(low).alias("apart"))
+        sums = sums.unionByName(rare).groupBy("t1", "t2").agg(*(F.sum(x).alias(x) for x in ("pairs", "npmi", "low", "over", "apart")))
+    share = lambda c, name: (c / F.col("pairs")).alias(name)
+    return sums.select("t1", "t2", "pairs", share(F.col("npmi"), "mean_npmi"), share(F.col("low"), "incoherent"), share(F.col("over"), "overdone"), share(F.col("apart") + F.col("over"), "suspicious"))
+
+
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        spam = np.fromiter((_enough(t) and np.greater(*share_of_spam(t)) for t in batch["text"]), bool, len(batch))
+        yield batch.loc[spam, ["t1", "t2"]]
 
 
 def stuffed(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """The identifiers of the spam."""
-
-    @F.pandas_udf("boolean")
-    def larger_part(texts: pd.Series) -> pd.Series:
-        answers = {t: _enough(t) and np.greater(*share_of_spam(t)) for t in texts.unique()}
-        return texts.map(answers).astype(bool)
-
-    return docs.select(identifier, text).where(F.col(text).isNotNull()).where(larger_part(text)).select(identifier)
+    texts = materialize(distinct_texts(docs.select(text), text), "texts")
+    suspects = materialize(statistics(texts).where(F.col("suspicious") >= SUSPECT).select("t1", "t2"), "suspects")
+    # A look in pandas over the joined rows, which Spark cannot move below the join: only suspects are read.
+    spam = materialize(texts.join(suspects, ["t1", "t2"], "left_semi").mapInPandas(_look, "t1 bigint, t2 bigint"), "spam")
+    discard(texts)
+    return docs.select(identifier, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).join(spam, ["t1", "t2"], "left_semi").select(identifier)

@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter
+
+import pandas as pd
 import pytest
 
 stuffing = pytest.importorskip("palimpsest.llm.stuffing")
@@ -27,13 +32,56 @@ def test_frame(spark):
     assert stuffing.stuffed(df.limit(0)).collect() == []
 
 
-def test_pmi(spark):
-    """Against counts by hand: once per text, copies of a text each count."""
-    import math
+def by_hand(texts):
+    """pairs, mean NPMI, incoherent, overdone and suspicious shares of each distinct text."""
+    words = [t.split() for t in dict.fromkeys(texts)]
+    own = [Counter(zip(w, w[1:])) for w in words]
+    c = sum(own, Counter())
+    left, right, total = Counter(), Counter(), sum(c.values())
+    for (a, b), n in c.items():
+        left[a] += n
+        right[b] += n
+    npmi = lambda n, p: math.log(n * total / (left[p[0]] * right[p[1]])) / -math.log(n / total)
+    normal = 0.75 * sum(n * npmi(n, p) for p, n in c.items()) / total
+    out = []
+    for o in own:
+        n = sum(o.values())
+        low = {p for p in o if c[p] == o[p] or npmi(max(c[p] - o[p], 0.5), p) < normal}
+        over = {p for p in o if o[p] >= max(2, 0.03 * n)}
+        out.append((n, *(round(x / n, 9) for x in (sum(o[p] * npmi(c[p], p) for p in o), *(sum(o[p] for p in s) for s in (low, over, low | over))))))
+    return sorted(out)
+
+
+def statistics(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return sorted((r.pairs, *(round(r[c], 9) for c in ("mean_npmi", "incoherent", "overdone", "suspicious"))) for r in stuffing.statistics(stuffing.distinct_texts(df)).collect())
+
+
+def test_pairs_by_hand(spark, monkeypatch):
+    """Against counts by hand, copies of a text once; the same if all, some or no pairs are broadcast."""
+    rng = random.Random(4)
+    texts = ["a b", "a b", "a c b"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 40))) for _ in range(40)] + ["a b c " * 30]
+    want = by_hand([t.strip() for t in texts])
+    assert statistics(spark, [t.strip() for t in texts]) == want
+    for known in (20, 0):
+        monkeypatch.setattr(stuffing, "KNOWN", known)
+        assert statistics(spark, [t.strip() for t in texts]) == want
+
+
+def test_counts_in_parts(monkeypatch):
+    texts = [" ".join(random.Random(i).choices("abcdefghij", k=50)) for i in range(30)]
+    whole = list(stuffing._count([pd.DataFrame({"text": texts})]))
+    monkeypatch.setattr(stuffing, "HELD", 60)
+    parts = pd.concat(stuffing._count([pd.DataFrame({"text": texts[:11]}), pd.DataFrame({"text": texts[11:]})]))
+    assert len(whole) == 1 and len(parts) > len(whole[0])
+    assert parts.groupby("h")["n"].sum().to_dict() == whole[0].set_index("h")["n"].to_dict()
+
 
-    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a c b")], "doc_id bigint, text string")
-    got = sorted(round(r.mean_pmi, 6) for r in stuffing.statistics(df).collect())
-    assert got == sorted([round(math.log(2 * 3 / 9), 6), round((math.log(1 * 3 / 3) + math.log(1 * 3 / 3)) / 2, 6)])
+def test_only_suspects_are_looked_at(spark, monkeypatch):
+    """Without suspects nothing is found: the rows come through the statistics."""
+    df = spark.createDataFrame(list(enumerate(SPAM + CLEAN)), "doc_id bigint, text string")
+    monkeypatch.setattr(stuffing, "SUSPECT", 1.01)
+    assert stuffing.stuffed(df).collect() == []
 
 
 def test_a_page_copied_to_a_third_of_all_rows(spark):
