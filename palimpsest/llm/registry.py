@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import conversations, mixing, neighbours, pii, stuffing, tokens
 from palimpsest.operators import delivery
 from palimpsest.plans import problems
-from palimpsest.util import materialize, table
+from palimpsest.util import table
 
 QUERIES, SQL = {}, {}
 
@@ -36,7 +36,7 @@ def p7_ids(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
-    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").alias("n_tokens"))
+    return tokens.lengths(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def p8_mixture(spark, sf_dir):
@@ -77,7 +77,7 @@ def p9_found(spark, sf_dir):
 
 def p9_statistics(spark, sf_dir):
     """What the pairs of neighbouring words say of each distinct text."""
-    return stuffing.statistics(materialize(stuffing.distinct_texts(table(spark, sf_dir, "documents")), "texts"))
+    return stuffing.statistics(stuffing.distinct_texts(table(spark, sf_dir, "documents")))
 
 
 QUERIES |= {"p9_statistics": p9_statistics}
