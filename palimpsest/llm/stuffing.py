@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,22 +69,24 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"”)]*\s+|\n+| [•|>›»/*] | :: | - |;\
 def share_of_spam(text: str) -> tuple[float, float]:
     """Characters of words in spam forms, and in sentences, code, logs, tables and settings."""
     text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    words = [w.lower() for w in _WORDS.findall(_LINK.sub(" ", text))]
+    linked_text = _HINT.search(text.lower()) is not None
+    words = [w.lower() for w in _WORDS.findall(_LINK.sub(" ", text) if linked_text else text)]
     pairs = Counter(zip(words, words[1:], strict=False))
     # Words that a document says far oftener than sentences say any content word.
     often = {w for w, n in Counter(words).items() if w not in GLUE and n >= max(5, 0.05 * len(words))}
     stuffed = {p for p, n in pairs.items() if n >= max(4, 0.03 * len(words)) and not (p[0] in GLUE and p[1] in GLUE)}
     spam = prose = 0.0
     for line in text.split("\n"):
-        if _LOG.match(line) and not _LINK.search(line) and sum(c.isdigit() for c in line) > 0.3 * len(line):
+        no_link = not (linked_text and _LINK.search(line))
+        if no_link and _LOG.match(line) and sum(c.isdigit() for c in line) > 0.3 * len(line):
             prose += len(line)
             continue
-        if _CODE.search(line) and not _LINK.search(line) and not _OFFER.search(line):
+        if no_link and _CODE.search(line) and not _OFFER.search(line):
             prose += len(line)
             continue
         for part in _SPLIT.split(line):
-            links = [m.group() for m in _LINK.finditer(part)]
-            plain = _LINK.sub(" ", part)
+            links = [] if no_link else [m.group() for m in _LINK.finditer(part)]
+            plain = _LINK.sub(" ", part) if links else part
             own = [w.lower() for w in _WORDS.findall(plain)]
             size, n = sum(map(len, own)), len(own)
             linked = sum(map(len, links))
@@ -111,48 +114,67 @@ def _enough(text: str) -> bool:
     return len(_WORDS.findall(_LINK.sub(" ", text))) + len(_LINK.findall(text)) > 1
 
 
-class Pairs:
-    """The pairs of neighbouring tokens of texts, by hash. Hashes of tokens are kept, up to a bound."""
+class _Names(dict):
+    """Number of each token seen by a task, in order; ``hashes`` holds their hashes."""
 
     def __init__(self) -> None:
-        self.names: dict[str, int] = {}
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, left and right token and number of each distinct pair."""
-        text = HIDDEN.sub("", text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower())
-        if _HINT.search(text):
-            text = _LINK.sub(" \N{BALLOT BOX} ", text)
-        found = _TOKEN.findall(text)
-        names = self.names
-        if len(names) > 1_000_000:
-            names.clear()
-        for t in set(found) - names.keys():
-            names[t] = xxhash.xxh64_intdigest("#" if t[0].isdigit() else t)
-        w = np.fromiter((names[t] for t in found), np.uint64, len(found))
-        h, first, n = np.unique(w[:-1] * _MIX[0] + w[1:] * _MIX[1], return_index=True, return_counts=True)
-        return h.view(np.int64), w[:-1][first].view(np.int64), w[1:][first].view(np.int64), n
-
-
-def _merged(parts: list[tuple]) -> pd.DataFrame:
+        self.hashes: list[int] = []
+
+    def __missing__(self, token: str) -> int:
+        self.hashes.append(xxhash.xxh64_intdigest("#" if token[0].isdigit() else token))
+        self[token] = len(self)
+        return self[token]
+
+
+def _tokens(text: str) -> list[str]:
+    text = HIDDEN.sub("", text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower())
+    return _TOKEN.findall(_LINK.sub(" \N{BALLOT BOX} ", text) if _HINT.search(text) else text)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with w, the hashes of the tokens of each text."""
+    names = _Names()
+    for batch in batches:
+        if len(names) > 1_000_000:  # hashes are the same again, so this only bounds memory
+            names = _Names()
+        parts = [np.fromiter(map(names.__getitem__, t), np.int64, len(t)) for t in map(_tokens, batch.column("text").to_pylist())]
+        values = np.array(names.hashes, np.uint64).view(np.int64)[np.concatenate([*parts, np.zeros(0, np.int64)])]
+        ends = np.cumsum([0, *map(len, parts)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*batch.schema.names, "w"])
+
+
+def _pairs(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, left and right token of each pair of neighbouring tokens of a batch."""
+    ends = column.offsets.to_numpy()
+    w = column.values.to_numpy()[ends[0] : ends[-1]]
+    own = np.repeat(np.arange(len(column)), np.diff(ends))
+    same = own[1:] == own[:-1]
+    a, b = w[:-1][same], w[1:][same]
+    return own[1:][same], (a.view(np.uint64) * _MIX[0] + b.view(np.uint64) * _MIX[1]).view(np.int64), a, b
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     h, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     u, first, at = np.unique(h, return_index=True, return_inverse=True)
-    return pd.DataFrame({"h": u, "a": a[first], "b": b[first], "n": np.bincount(at, n, len(u)).astype(np.int64)})
+    return u, a[first], b[first], np.bincount(at, n, len(u)).astype(np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pairs, parts, size = Pairs(), [], 0
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, a, b, n of the pairs, added up over as many batches as HELD allows."""
+    parts, size = [], 0
+    out = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], list("habn"))
     for batch in batches:
-        for text in batch["text"]:
-            parts.append(pairs.of(text))
-            size += len(parts[-1][0])
-            if size > HELD:
-                parts = [tuple(_merged(parts)[c].to_numpy() for c in "habn")]
-                size = len(parts[0][0])
-                if size > HELD // 2:  # little was repeated: hand it on
-                    yield pd.DataFrame(dict(zip("habn", parts[0], strict=True)))
-                    parts, size = [], 0
+        _, h, a, b = _pairs(batch.column("w"))
+        parts.append(_merged([(h, a, b, np.ones(len(h)))]))
+        size += len(parts[-1][0])
+        if size > HELD:
+            parts = [_merged(parts)]
+            size = len(parts[0][0])
+            if size > HELD // 2:  # little was repeated: hand it on
+                yield out(parts[0])
+                parts, size = [], 0
     if parts:
-        yield _merged(parts)
+        yield out(_merged(parts))
 
 
 def _npmi(c, e, total):
@@ -163,7 +185,7 @@ def _npmi(c, e, total):
 
 def pair_counts(texts: DataFrame) -> DataFrame:
     """h, c (uses in distinct texts), e (uses of the left word times those of the right word) of all pairs."""
-    pairs = texts.select("text").mapInPandas(_count, "h bigint, a bigint, b bigint, n bigint").groupBy("h").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("c"))
+    pairs = texts.select("w").mapInArrow(_count, "h bigint, a bigint, b bigint, n bigint").groupBy("h").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("c"))
     pairs = materialize(pairs.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")), "pairs")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     side = lambda s: pairs.groupBy(s).agg(F.sum("c").alias(f"c_{s}")).select("*", every)
@@ -171,8 +193,9 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """t1, t2 (hashes), text of each distinct text."""
-    return docs.where(F.length(text) > 0).groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(F.first(text).alias("text"))
+    """t1, t2 (hashes), text, w (hashes of its tokens) of each distinct text; written once, as every step reads a part of it."""
+    once = docs.where(F.length(text) > 0).groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(F.first(text).alias("text"))
+    return materialize(once.mapInArrow(_tokenise, "t1 bigint, t2 bigint, text string, w array<bigint>"), "texts")
 
 
 def statistics(texts: DataFrame) -> DataFrame:
@@ -194,24 +217,31 @@ def statistics(texts: DataFrame) -> DataFrame:
     known = counts.where(octave >= least).toPandas().sort_values("h")
     shared = spark.sparkContext.broadcast(tuple(known[c].to_numpy() for c in ("h", "c", "e")))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, (kh, kc, ke) = Pairs(), shared.value
-        ends = np.append(kh, 0)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kh, kc, ke = shared.value
+        ends, unknown = np.append(kh, 0), len(kh)
         for batch in batches:
-            rows = []
-            for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"], strict=True):
-                h, _, _, n = pairs.of(text)
-                if not len(h):
-                    continue
-                at = np.searchsorted(kh, h)
-                here = (at < len(kh)) & (ends[at] == h)
-                c, e, k = kc[at[here]], ke[at[here]], n[here]
-                over = n >= np.maximum(AGAIN, OFTEN * n.sum())
-                low = (c == k) | (_npmi(np.maximum(c - k, 0.5), e, total) < normal)
-                rows.append((t1, t2, int(n.sum()), float((_npmi(c.astype(float), e, total) * k).sum()), int(k[low].sum()), int(n[over].sum()), int(k[low & ~over[here]].sum()), h[~here].tolist(), n[~here].tolist(), over[~here].tolist()))
-            yield pd.DataFrame(rows, columns=["t1", "t2", "pairs", "npmi", "low", "over", "apart", "h", "n", "o"])
-
-    seen = materialize(texts.select("t1", "t2", "text").mapInPandas(judge, "t1 bigint, t2 bigint, pairs bigint, npmi double, low bigint, over bigint, apart bigint, h array<bigint>, n array<bigint>, o array<boolean>"), "judged")
+            own, h, _, _ = _pairs(batch.column("w"))
+            texts_here = batch.num_rows
+            u, at = np.unique(h, return_inverse=True)
+            place = np.searchsorted(kh, u)
+            place[(place == unknown) | (ends[place] != u)] = unknown
+            # Distinct pairs of each text, by the number of the pair in this batch.
+            key, n = np.unique(own * np.int64(max(len(u), 1)) + at, return_counts=True)
+            own, at = key // max(len(u), 1), key % max(len(u), 1)
+            size = np.bincount(own, n, texts_here)
+            over = n >= np.maximum(AGAIN, OFTEN * size[own])
+            here = place[at] < unknown
+            c, e, k = kc[place[at[here]]], ke[place[at[here]]], n[here]
+            low = (c == k) | (_npmi(np.maximum(c - k, 0.5), e, total) < normal)
+            add = lambda who, x: np.bincount(who, x, texts_here)
+            sums = [size, add(own[here], _npmi(c.astype(float), e, total) * k), add(own[here], k * low), add(own, n * over), add(own[here], k * (low & ~over[here]))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(own[~here], minlength=texts_here))], pa.int32()), pa.array(x)) for x in (u[at[~here]], n[~here], over[~here])]
+            columns = [batch.column("t1"), batch.column("t2"), *(pa.array(x.astype(float if i == 1 else np.int64)) for i, x in enumerate(sums)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["t1", "t2", "pairs", "npmi", "low", "over", "apart", "h", "n", "o"])
+
+    seen = texts.select("t1", "t2", "w").mapInArrow(judge, "t1 bigint, t2 bigint, pairs bigint, npmi double, low bigint, over bigint, apart bigint, h array<bigint>, n array<bigint>, o array<boolean>")
+    seen = materialize(seen.where("pairs > 0"), "judged")
     sums = seen.drop("h", "n", "o")
     if len(bins) and bins[-1].b < least:
         rare = seen.where(F.size("h") > 0).select("t1", "t2", F.explode(F.arrays_zip("h", "n", "o")).alias("p")).select("t1", "t2", "p.h", "p.n", "p.o").join(counts.where(octave < least), "h")
@@ -231,9 +261,9 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def stuffed(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """The identifiers of the spam."""
-    texts = materialize(distinct_texts(docs.select(text), text), "texts")
+    texts = distinct_texts(docs.select(text), text)
     suspects = materialize(statistics(texts).where(F.col("suspicious") >= SUSPECT).select("t1", "t2"), "suspects")
     # A look in pandas over the joined rows, which Spark cannot move below the join: only suspects are read.
-    spam = materialize(texts.join(suspects, ["t1", "t2"], "left_semi").mapInPandas(_look, "t1 bigint, t2 bigint"), "spam")
+    spam = materialize(texts.drop("w").join(suspects, ["t1", "t2"], "left_semi").mapInPandas(_look, "t1 bigint, t2 bigint"), "spam")
     discard(texts)
     return docs.select(identifier, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).join(spam, ["t1", "t2"], "left_semi").select(identifier)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 stuffing = pytest.importorskip("palimpsest.llm.stuffing")
@@ -70,9 +71,10 @@ def test_pairs_by_hand(spark, monkeypatch):
 
 def test_counts_in_parts(monkeypatch):
     texts = [" ".join(random.Random(i).choices("abcdefghij", k=50)) for i in range(30)]
-    whole = list(stuffing._count([pd.DataFrame({"text": texts})]))
+    count = lambda *cuts: [b.to_pandas() for b in stuffing._count(stuffing._tokenise(pa.RecordBatch.from_pydict({"text": x}) for x in cuts))]
+    whole = count(texts)
     monkeypatch.setattr(stuffing, "HELD", 60)
-    parts = pd.concat(stuffing._count([pd.DataFrame({"text": texts[:11]}), pd.DataFrame({"text": texts[11:]})]))
+    parts = pd.concat(count(texts[:11], texts[11:]))
     assert len(whole) == 1 and len(parts) > len(whole[0])
     assert parts.groupby("h")["n"].sum().to_dict() == whole[0].set_index("h")["n"].to_dict()
 
