@@ -1,13 +1,20 @@
 """Most similar vectors for every vector: score-aware quantisation, four-bit table scans, exact reranking.
 
-Vectors are put in cells of a coarse quantiser. What remains of each is coded in sixteen four-bit codes whose codebooks
-and codes weigh the error along the vector (which changes inner products most) more than the error across it. A query
-scans the codes of a few cells by table look-ups; whatever may be among its nearest, given the measured error of the
-codes, is ranked again by exact cosines.
-
-Only the coarse centroids and the codebooks are fitted on a bounded sample (SAMPLE rows); every row is indexed. Copies
-of one vector are searched once and expanded at the end, so a vector held by a third of all rows makes no hot task. A
-cell with more than BLOCK rows is split into blocks on both sides, so every group is bounded and no row is left out.
+Vectors are put in cells of a coarse quantiser of two levels: up to MAX_CELLS centroids, and from a million vectors on up
+to FINE centroids of what remains, so that a cell keeps about CELL rows up to some hundred million vectors. What remains
+then is coded in sixteen four-bit codes whose codebooks and codes weigh the error along the vector (which changes inner
+products most) more than the error across it. A query scans the codes of its nearest cells by table look-ups; whatever may
+be among its nearest, given the measured error of the codes, is ranked again by exact cosines.
+
+Only centroids and codebooks are fitted on a bounded sample (SAMPLE rows); every row is indexed. How many cells a query
+scans is settled by brute force: the true neighbours of about TRIED vectors, found by one pass over all rows, lie in the
+cells scanned for GOAL of them, at any size; the same pairs tell the error of the codes where it counts. Cells whose border
+is farther than a neighbour can be are never scanned. With ``exact`` every cell within reach of that border rule is
+scanned and every pair in it is ranked by its exact cosine.
+
+Copies of one vector are searched once and expanded at the end, so a vector held by a third of all rows makes no hot task.
+A cell with more than BLOCK rows, or asked by more than BLOCK, is split into blocks on that side: every group is bounded
+and no row is left out.
 
 Defined results: vectors that are null, of another length, all zero or with a null or non-finite number take no part;
 of an identifier that comes with several vectors the one with the least hash counts; null identifiers take no part; equal cosines go
@@ -25,11 +32,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.util import materialize
 
-SAMPLE, CELL, MAX_CELLS, BLOCK, PROBES = 32_768, 256, 4_096, 4_096, 2
+SAMPLE, CELL, MAX_CELLS, FINE, BLOCK = 32_768, 256, 4_096, 256, 4_096
+#: Vectors whose neighbours are found by brute force, share of these that the scanned cells must hold, cells scanned where there are none.
+TRIED, GOAL, PROBES = 256, 0.998, 4
 SUBSPACES, CENTRES = 16, 16
 #: Most rows (of three short columns, under 100 bytes each) of a broadcast.
 FEW = 500_000
-#: Inner products from here on count; sets how much heavier the parallel error weighs: (d - 1) t^2 / (1 - t^2).
+#: Inner products from here on count in fitting; sets how much heavier the parallel error weighs: (d - 1) t^2 / (1 - t^2).
 AIM = 0.4
 
 
@@ -57,33 +66,87 @@ def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centroids by five rounds of Lloyd's algorithm."""
+    out = x[rng.permutation(len(x))[:k]].copy()
+    for _ in range(5):
+        near = _nearest(x, out, 1)[:, 0]
+        count = np.bincount(near, minlength=len(out))
+        total = np.zeros(out.shape, np.float64)
+        np.add.at(total, near, x)
+        out = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], out).astype(np.float32)
+    return out
+
+
 class Codec:
-    """Coarse centroids, codebooks and the error that the codes leave in an inner product."""
+    """Centroids of both levels, codebooks, and the error that the codes leave in an inner product. A cell is coarse * len(fine) + fine."""
 
-    def __init__(self, sample: np.ndarray, n_cells: int, aim: float = AIM, seed: int = 5) -> None:
+    def __init__(self, sample: np.ndarray, n_cells: int, n_fine: int = 1, aim: float = AIM, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         x = _unit(sample).astype(np.float32)
         self.dim, self.sub = x.shape[1], x.shape[1] // SUBSPACES
         self.weight = np.float32(max((self.dim - 1) * aim**2 / (1 - aim**2), 1.0) - 1)
-        self.centroids = x[rng.permutation(len(x))[:n_cells]].copy()
-        for _ in range(5):
-            near = _nearest(x, self.centroids, 1)[:, 0]
-            count = np.bincount(near, minlength=len(self.centroids))
-            total = np.zeros(self.centroids.shape, np.float64)
-            np.add.at(total, near, x)
-            self.centroids = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], self.centroids).astype(np.float32)
+        self.centroids = _centres(x, n_cells, rng)
         near = _nearest(x, self.centroids, 1)[:, 0]
         rest = x - self.centroids[near]
+        self.fine = _centres(rest, n_fine, rng) if n_fine > 1 else np.zeros((1, self.dim), np.float32)
+        rest -= self.fine[_nearest(rest, self.fine, 1)[:, 0]]
         self.books = np.stack([rest[rng.permutation(len(x))[np.arange(CENTRES) % len(x)], m * self.sub : (m + 1) * self.sub] for m in range(SUBSPACES)])
         for _ in range(6):
             codes = self.encode(x, rest)
             self._fit(x, rest, codes)
-        # Error of q.x by the codes, for sampled pairs of one cell.
+        # Error of q.x by the codes, for sampled pairs of one cell; ``calibrate`` replaces it by that of true neighbours.
         err = rest - self.decode(self.encode(x, rest))
         order = np.argsort(near, kind="stable")
         pairs = [(order[:-k], order[k:]) for k in (1, 2, 5) if len(x) > k]
         seen = np.concatenate([(x[a] * err[b]).sum(1)[near[a] == near[b]] for a, b in pairs]) if pairs else np.zeros(0)
         self.margin = float(np.quantile(np.abs(seen), 0.9995)) + 0.01 if len(seen) else 0.1
+        self.probes = PROBES
+
+    def centre(self, cell):
+        """The point that a cell's codes start from."""
+        return self.centroids[np.asarray(cell) // len(self.fine)] + self.fine[np.asarray(cell) % len(self.fine)]
+
+    def cells(self, x: np.ndarray, probes: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of unit vectors, own cell first, then by distance, and which of them may hold anything within ``reach``.
+
+        A vector within reach lies in another cell only if the border of that cell is within reach; this holds on both levels.
+        """
+        many = min(len(self.centroids), probes)
+        near = _nearest(x, self.centroids, many)
+        apart = lambda a, b: np.sqrt(((a - b) ** 2).sum(-1))
+        gap = ((x[:, None] - self.centroids[near]) ** 2).sum(2)
+        needed = (gap - gap[:, :1]) <= 2 * apart(self.centroids[near], self.centroids[near[:, :1]]) * reach + 1e-5
+        needed[:, 0] = True
+        if len(self.fine) == 1:
+            return near, needed
+        few = min(len(self.fine), probes)
+        cells, far, need = [], [], []
+        for j in range(many):
+            rest = x - self.centroids[near[:, j]]
+            sub = _nearest(rest, self.fine, few)
+            d = ((rest[:, None] - self.fine[sub]) ** 2).sum(2)
+            cells.append(near[:, j : j + 1] * len(self.fine) + sub)
+            need.append(needed[:, j : j + 1] & ((d - d[:, :1]) <= 2 * apart(self.fine[sub], self.fine[sub[:, :1]]) * reach + 1e-5))
+            far.append(d)
+        far[0][:, 0] = -1.0
+        cells, far, need = (np.concatenate(v, 1) for v in (cells, far, need))
+        order = np.argsort(np.where(need, far, np.inf), 1, kind="stable")[:, :probes]
+        return np.take_along_axis(cells, order, 1), np.take_along_axis(need, order, 1)
+
+    def calibrate(self, q: np.ndarray, n: np.ndarray, reach: float) -> None:
+        """How many cells to scan, and the error of the codes, from pairs of a vector and a true neighbour of it."""
+        if not len(q):
+            return
+        q, n = _unit(q).astype(np.float32), _unit(n).astype(np.float32)
+        own = self.cells(n, 1, reach)[0][:, 0]
+        most = min(len(self.centroids) * len(self.fine), 64)
+        where = self.cells(q, most, reach)[0] == own[:, None]
+        rank = np.where(where.any(1), where.argmax(1), most) + 1
+        self.probes = max(2, min(most, int(np.quantile(rank, GOAL, method="higher"))))
+        rest = n - self.centre(own)
+        err = np.abs((q * (rest - self.decode(self.encode(n, rest)))).sum(1))
+        self.margin = float(err.max()) * 1.1 + 0.01
 
     def encode(self, x: np.ndarray, rest: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes by coordinate descent on |error|^2 + weight (error along x)^2."""
@@ -135,18 +198,19 @@ def _stack(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32, copy=False) if len(column) else np.zeros((0, dim), np.float32)
 
 
-def _search(codec: Codec, base: np.ndarray, names: np.ndarray, cell: int, queries: np.ndarray, asks: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+def _search(codec: Codec, base: np.ndarray, names: np.ndarray, cell: int, queries: np.ndarray, asks: np.ndarray, k: int, least: float, exact: bool = False) -> Iterator[pd.DataFrame]:
     b = _unit(base)
-    rest = b.astype(np.float32) - codec.centroids[cell]
+    rest = b.astype(np.float32) - codec.centre(cell)
     codes = codec.encode(b.astype(np.float32), rest)
     packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
     for a in range(0, len(queries), 256):
         q = _unit(queries[a : a + 256])
         q32 = q.astype(np.float32)
-        rough = codec.scan(q32, packed) + (q32 @ codec.centroids[cell])[:, None]
-        floor = np.full(len(q), least - codec.margin, np.float32)
+        rough = q32 @ b.T.astype(np.float32) if exact else codec.scan(q32, packed) + (q32 @ codec.centre(cell))[:, None]
+        margin = 1e-5 if exact else codec.margin
+        floor = np.full(len(q), least - margin, np.float32)
         if len(b) > k + 1:  # the k nearest, and the query itself, have at least the (k+1)th best rough score less the error
-            floor = np.maximum(floor, np.partition(rough, len(b) - k - 1, 1)[:, len(b) - k - 1] - 2 * codec.margin)
+            floor = np.maximum(floor, np.partition(rough, len(b) - k - 1, 1)[:, len(b) - k - 1] - 2 * margin)
         qi, bi = np.nonzero(rough >= floor[:, None])
         cos = np.concatenate([(q[qi[s : s + 65_536]] * b[bi[s : s + 65_536]]).sum(1) for s in range(0, len(qi), 65_536)]) if len(qi) else np.zeros(0)
         found = pd.DataFrame({"q": asks[a : a + 256][qi], "n": names[bi], "cos": cos})
@@ -154,7 +218,29 @@ def _search(codec: Codec, base: np.ndarray, names: np.ndarray, cell: int, querie
         yield found.groupby("q", sort=False).head(k)
 
 
-def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64, identifier: str = "id", vector: str = "vec", probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def _tried(distinct: DataFrame, total: int, k: int, least: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one of about TRIED vectors and each of its true neighbours (at most k), by one pass over all rows."""
+    share = min(1.0, TRIED / total)
+    asked = distinct.where(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas().drop_duplicates("id")
+    names, q = asked["id"].to_numpy(), _unit(_stack(asked["vec"], dim)).astype(np.float32) if len(asked) else np.zeros((0, dim), np.float32)
+    shared = distinct.sparkSession.sparkContext.broadcast((names, q))
+
+    def try_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = shared.value
+        for batch in batches:
+            cos = _unit(_stack(batch["vec"], dim)).astype(np.float32) @ q.T
+            cos[batch["id"].to_numpy()[:, None] == names[None, :]] = -2
+            if len(cos) > k:
+                cos = np.where(cos >= np.partition(cos, len(cos) - k, 0)[len(cos) - k], cos, -2)
+            i, j = np.nonzero(cos >= least)
+            yield pd.DataFrame({"query_no": j.astype(np.int32), "id": batch["id"].to_numpy()[i], "cos": cos[i, j].astype(float), "vec": batch["vec"].to_numpy()[i]})
+
+    found = distinct.mapInPandas(try_all, "query_no int, id string, cos double, vec array<float>")
+    found = _top(found.dropDuplicates(["query_no", "id"]).withColumn("far", -F.col("cos")), "query_no", ["far", "id"], k).select("query_no", "vec").toPandas()  # at most k rows of each
+    return q[found["query_no"].to_numpy()], _stack(found["vec"], dim)
+
+
+def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64, identifier: str = "id", vector: str = "vec", sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """q, n, cos: for each identifier its at most k nearest others with a cosine of at least ``least``."""
     spark = vectors.sparkSession
     every_row = usable(vectors, identifier, vector, dim)
@@ -168,36 +254,25 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
     distinct = _representatives(every_row, rows, reps)
     share = min(1.0, sample / total)  # of the hash range, so about ``sample`` rows whatever the size of the table
     part = distinct.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toPandas()
-    codec = Codec(_stack(part["vec"], dim), int(np.clip(total // CELL, 1, min(MAX_CELLS, max(1, sample // 8)))))
-    shared = spark.sparkContext.broadcast(codec)
+    n_cells = int(np.clip(total // CELL, 1, min(MAX_CELLS, max(1, len(part) // 8))))
+    codec = Codec(_stack(part["vec"], dim), n_cells, int(np.clip(total // (CELL * n_cells), 1, FINE)) if n_cells == MAX_CELLS else 1)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    if not exact:
+        codec.calibrate(*_tried(distinct, total, k, least, dim), reach)
+    probes = len(codec.centroids) * len(codec.fine) if exact else codec.probes
+    shared = spark.sparkContext.broadcast(codec)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
         for batch in batches:
-            x = _unit(_stack(batch["vec"], dim)).astype(np.float32)
-            near = _nearest(x, c.centroids, probes)
-            gap = ((x[:, None] - c.centroids[near]) ** 2).sum(2)
-            across = np.sqrt(((c.centroids[near] - c.centroids[near[:, :1]]) ** 2).sum(2))
-            # A vector within reach lies in another cell only if the border of that cell is within reach.
-            needed = (gap - gap[:, :1]) <= 2 * across * reach + 1e-5
-            needed[:, 0] = True
-            yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "cells": [list(map(int, r[m])) for r, m in zip(near, needed, strict=True)]})
+            cells, needed = shared.value.cells(_unit(_stack(batch["vec"], dim)).astype(np.float32), probes, reach)
+            yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "cells": [list(map(int, r[m])) for r, m in zip(cells, needed, strict=True)]})
 
     # Placing is cheap; it is done twice rather than written, as a copy of all vectors is not.
-    placed = distinct.mapInPandas(place, "id string, vec array<float>, cells array<int>")
-    sizes = placed.groupBy(F.element_at("cells", 1).alias("cell")).count().where(F.col("count") > BLOCK).collect()  # at most MAX_CELLS rows
-    blocks = {r.cell: -(-r["count"] // BLOCK) for r in sizes}
-    parts = F.lit(1)
-    for cell, n in blocks.items():
-        parts = F.when(F.col("cell") == cell, n).otherwise(parts)
-    spread = placed.select("id", "vec", F.posexplode("cells").alias("rank", "cell")).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    one = spread.where("parts = 1").select("cell", F.lit(0).alias("b"), F.lit(0).alias("a"), "id", "vec", (F.col("rank") == 0).alias("base"), F.lit(True).alias("asks"))
-    split = spread.where("parts > 1")
-    bases = split.where("rank = 0").select("cell", F.col("own").alias("b"), F.explode(every).alias("a"), "id", "vec", F.lit(True).alias("base"), F.lit(False).alias("asks"))
-    askers = split.select("cell", F.explode(every).alias("b"), F.col("own").alias("a"), "id", "vec", F.lit(False).alias("base"), F.lit(True).alias("asks"))
-    groups = one.unionAll(bases).unionAll(askers) if blocks else one
+    placed = distinct.mapInPandas(place, "id string, vec array<float>, cells array<int>").select("id", "vec", F.posexplode("cells").alias("rank", "cell"))
+    # At most MAX_CELLS * FINE rows of twelve bytes; as a rule none.
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("rank") == 0, 1)) / BLOCK).cast("int").alias("pb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pa")).where("pb > 1 or pa > 1")
+    sizes = materialize(sizes, "cells")
+    groups = _blocks(placed, sizes)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "base", "asks"])
@@ -205,13 +280,28 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
         empty = pd.DataFrame({"q": pd.Series(dtype=str), "n": pd.Series(dtype=str), "cos": pd.Series(dtype=float)})
         if not len(base) or not len(asks):
             return empty
-        found = list(_search(shared.value, _stack(base["vec"], dim), base["id"].to_numpy(), int(group["cell"].iat[0]), _stack(asks["vec"], dim), asks["id"].to_numpy(), k, least))
+        found = list(_search(shared.value, _stack(base["vec"], dim), base["id"].to_numpy(), int(group["cell"].iat[0]), _stack(asks["vec"], dim), asks["id"].to_numpy(), k, least, exact))
         return pd.concat([empty, *(f for f in found if len(f))])
 
     near = materialize(groups.groupBy("cell", "b", "a").applyInPandas(search, "q string, n string, cos double"), "near")
     return _expand(rows, reps, near, k)
 
 
+def _blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cell, b, a (block of bases, block of askers), id, vec, base, asks: in a large cell (``sizes``: its blocks pb, pa) each block of bases meets each of askers."""
+    whole = F.struct(F.lit(0).alias("b"), F.lit(0).alias("a"), (F.col("rank") == 0).alias("base"), F.lit(True).alias("asks"))
+    if not sizes.head(1):
+        return placed.select("cell", whole.alias("x"), "id", "vec").select("cell", "x.*", "id", "vec")
+    rows = placed.join(F.broadcast(sizes), "cell", "left")
+    mine = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(parts)).cast("int")
+    put = lambda b, a, base: F.struct(b.alias("b"), a.alias("a"), F.lit(base).alias("base"), F.lit(not base).alias("asks"))
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    as_asker = F.transform(upto("pb"), lambda b: put(b, mine(1, "pa"), False))
+    as_base = F.transform(upto("pa"), lambda a: put(mine(0, "pb"), a, True))
+    both = F.when(F.col("pb").isNull(), F.array(whole)).when(F.col("rank") == 0, F.concat(as_base, as_asker)).otherwise(as_asker)
+    return rows.select("cell", F.explode(both).alias("x"), "id", "vec").select("cell", "x.*", "id", "vec")
+
+
 def _representatives(every_row: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """id, vec of the representatives. Rows to leave out are few as a rule; they are broadcast if they are at most FEW, else joined by a shuffle."""
     left_out = every_row.select("id", "h1", "h2").join(reps, ["id", "h1", "h2"], "left_anti").distinct()
