@@ -3,7 +3,10 @@
 Two steps. ``interpret`` writes every valid reading of a value as an array: month or day
 first, the earlier or the later of two instants that a clock showed twice. A reading that goes against what is known
 (the locale's order of day and month, the earlier instant) has a cost. ``choose`` finds, for the records of each source
-in their order, the cheapest sequence of readings (Viterbi), where a change of format and a step back in time cost.
+in their order, the cheapest sequence of readings (Viterbi), where a change of format and a step back in time cost. Each
+reading has its own format: two readings of one value differ in the order of day and month. What is known (the locale's
+order) is a prior: with a small ``rule_weight`` the neighbours of a value can overrule it, with a large one they cannot.
+Only sources with a value of several readings are put in order and solved; in all others there is nothing to choose.
 
 The order of a source is cut at partition borders, so a source of a third of all rows is spread over many tasks. A
 piece at a border is solved for each reading of its first and last record; a table of one row per piece and border then
@@ -81,15 +84,15 @@ def _micros(t: datetime) -> int:
     return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
 
 
-def readings_of(text: str | None, locale: str | None, zone: str | None, abbreviations: dict[str, int], rule_weight: float) -> tuple[list[int], str, list[float]]:
-    """All readings of one value: instants, kind of format, costs."""
-    none = ([], "", [])
+def readings_of(text: str | None, locale: str | None, zone: str | None, abbreviations: dict[str, int], rule_weight: float) -> tuple[list[int], list[int], list[float]]:
+    """All readings of one value: instants, formats (kind, order of day and month, with or without zone, half days), costs."""
+    none = ([], [], [])
     if not text:
         return none
     s = _SPACES.sub(" ", text.lower()).strip()
     if "m" in s[-4:]:
         s = _HALF.sub(lambda x: f" {x[1] or x[2]}m", s)
-    for kind, match in _SHAPES:
+    for shape, (kind, match) in enumerate(_SHAPES):
         if m := match(s):
             break
     else:
@@ -98,10 +101,10 @@ def readings_of(text: str | None, locale: str | None, zone: str | None, abbrevia
     if "e" in g:
         n, fraction = int(g["e"]), (g.get("f") or "")[:6].ljust(6, "0")
         if kind == "wrapped":
-            return [n * 1000], kind, [0.0]
+            return [n * 1000], [8 * shape], [0.0]
         size = len(g["e"])
         us = n * 1_000_000 + int(fraction) if size <= 11 else n * 1000 + int(fraction) // 1000 if size <= 13 else n if size <= 16 else n // 1000
-        return [us], kind, [0.0]
+        return [us], [8 * shape], [0.0]
     h = int(g["h"])
     if g.get("half"):
         if not 1 <= h <= 12:
@@ -135,8 +138,9 @@ def readings_of(text: str | None, locale: str | None, zone: str | None, abbrevia
             return none
     else:
         offset = None
-    us, costs = [], []
+    us, formats, costs = [], [], []
     for k, (month, day) in enumerate(days):
+        month_first = kind == "num" and (month, day) == (int(g["n1"]), int(g["n2"]))
         try:
             local = datetime(year, month, day, *clock)
         except ValueError:
@@ -150,19 +154,20 @@ def readings_of(text: str | None, locale: str | None, zone: str | None, abbrevia
             first, second = (at - x.days * 86_400_000_000 - x.seconds * 1_000_000 for x in (z.utcoffset(local), z.utcoffset(local.replace(fold=1))))
             found = [first, second] if second > first else [first]
         us += found
+        formats += [8 * shape + 4 * month_first + 2 * (offset is not None) + bool(g.get("half"))] * len(found)
         costs += [rule_weight * (k > 0 or j > 0) for j in range(len(found))]
-    return us, kind, costs
+    return us, formats, costs
 
 
 def interpret(values: DataFrame, text: str, locale: str, zone: str, abbreviations: dict[str, int], rule_weight: float = 100.0) -> DataFrame:
-    """values with us ARRAY<BIGINT>, fmt (kind of format) and cost ARRAY<DOUBLE>: all readings; empty arrays where there are none.
+    """values with us ARRAY<BIGINT>, fmt ARRAY<INT> (format) and cost ARRAY<DOUBLE>: all readings; empty arrays where there are none.
 
     ``abbreviations`` (minutes by letters) is a small fixed table. A reading against the locale's order or of the later of
     two instants costs ``rule_weight``.
     """
     letters = {a.lower(): m for a, m in abbreviations.items()}
 
-    @F.pandas_udf("us array<bigint>, fmt string, cost array<double>")
+    @F.pandas_udf("us array<bigint>, fmt array<int>, cost array<double>")
     def read(texts: pd.Series, locales: pd.Series, zones: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([readings_of(t, a, z, letters, rule_weight) for t, a, z in zip(texts, locales, zones, strict=True)], columns=["us", "fmt", "cost"])
 
@@ -176,7 +181,7 @@ def _steps(us: list, fmt: list, cost: list, switch: float, back: float) -> tuple
     np.fill_diagonal(total, cost[0])
     back_to = []
     for i in range(1, n):
-        move = switch * (fmt[i] != fmt[i - 1]) + back * (np.asarray(us[i])[None, :] < np.asarray(us[i - 1])[:, None])
+        move = switch * (np.asarray(fmt[i])[None, :] != np.asarray(fmt[i - 1])[:, None]) + back * (np.asarray(us[i])[None, :] < np.asarray(us[i - 1])[:, None])
         all_ = total[:, :, None] + move[None]
         back_to.append(all_.argmin(1))
         total = all_.min(1) + np.asarray(cost[i])[None, :]
@@ -210,7 +215,7 @@ def _solve(group: pd.DataFrame, edge: bool, switch: float, back: float) -> tuple
             for j, p in enumerate(right[1]):
                 if last - 1 + j > first or last - 1 + j >= last:
                     options[last - 1 + j] = np.tile(p[0], a).tolist()
-        piece = {"us0": list(map(int, us[0])), "us1": list(map(int, us[-1])), "fmt0": fmt[0], "fmt1": fmt[-1], "m": total.ravel().tolist()}
+        piece = {"us0": list(map(int, us[0])), "us1": list(map(int, us[-1])), "fmt0": list(map(int, fmt[0])), "fmt1": list(map(int, fmt[-1])), "m": total.ravel().tolist()}
         if left is None:
             return choice, options, piece
     else:
@@ -239,10 +244,14 @@ def choose(readings: DataFrame, source: str, order: list[str], switch: float = 1
     """
     spark = readings.sparkSession
     keep = [c for c in readings.columns if c not in ("us", "fmt", "cost")]
-    rows = readings.where(F.size("us") > 0).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    spread = rows.repartitionByRange("__source", *order).sortWithinPartitions("__source", *order).withColumn("part", F.spark_partition_id())
+    # Written once, as finding the borders of the ranges and the open sources would read all values again.
+    rows = materialize(readings.where(F.size("us") > 0).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))), "values")
+    unclear = materialize(rows.where(F.size("us") > 1).select(F.col("__source").alias("__open")).distinct(), "open-sources")
+    flagged = rows.join(unclear, F.col("__source") == F.col("__open"), "left")
+    settled = flagged.where("__open is null").select(*keep, F.get("us", F.lit(0)).alias("utc_us"), F.get("cost", F.lit(0)).alias("broken"))
+    spread = flagged.where("__open is not null").drop("__open").repartitionByRange("__source", *order).sortWithinPartitions("__source", *order).withColumn("part", F.spark_partition_id())
     fields = {f.name: f.dataType.simpleString() for f in spread.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", `__source` string, part int, us array<bigint>, cost array<double>, choice int, options array<int>, piece struct<us0:array<bigint>,us1:array<bigint>,fmt0:string,fmt1:string,m:array<double>>"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", `__source` string, part int, us array<bigint>, cost array<double>, choice int, options array<int>, piece struct<us0:array<bigint>,us1:array<bigint>,fmt0:array<int>,fmt1:array<int>,m:array<double>>"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [b for b in batches if len(b)]
@@ -277,7 +286,7 @@ def choose(readings: DataFrame, source: str, order: list[str], switch: float = 1
                 enter = np.zeros(len(x["us0"]))
                 came.append(None)
             else:
-                move = switch * (g[i - 1]["fmt1"] != x["fmt0"]) + back * (np.asarray(x["us0"])[None, :] < np.asarray(g[i - 1]["us1"])[:, None])
+                move = switch * (np.asarray(x["fmt0"])[None, :] != np.asarray(g[i - 1]["fmt1"])[:, None]) + back * (np.asarray(x["us0"])[None, :] < np.asarray(g[i - 1]["us1"])[:, None])
                 step = total[:, None] + move
                 came.append(step.argmin(0))
                 enter = step.min(0)
@@ -294,4 +303,5 @@ def choose(readings: DataFrame, source: str, order: list[str], switch: float = 1
     picks = pieces.groupBy("__source").applyInPandas(stitch, "s string, p int, pick int")
     joined = solved.join(picks, (F.col("__source") == F.col("s")) & (F.col("part") == F.col("p")), "left")
     index = F.when(F.col("options").isNotNull(), F.get("options", F.col("pick"))).otherwise(F.col("choice"))
-    return joined.withColumn("__i", index).select(*keep, F.get("us", F.col("__i")).alias("utc_us"), F.get("cost", F.col("__i")).alias("broken"))
+    solved_now = joined.withColumn("__i", index).select(*keep, F.get("us", F.col("__i")).alias("utc_us"), F.get("cost", F.col("__i")).alias("broken"))
+    return settled.unionAll(solved_now)

@@ -1,4 +1,6 @@
 import random
+from datetime import UTC, datetime
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -81,6 +83,34 @@ def test_viterbi_over_a_hot_source(spark):
     assert timestamps.choose(timestamps.interpret(df.limit(0), "created_at", "locale", "zone", {}), "source", ["at"]).collect() == []
 
 
+def chosen(spark, rows, weight, **costs):
+    df = spark.createDataFrame(rows, "source string, at int, created_at string").withColumns({"locale": F.lit("de_DE"), "zone": F.lit(None).cast("string")})
+    got = timestamps.choose(timestamps.interpret(df, "created_at", "locale", "zone", {}, weight), "source", ["at"], **costs).collect()
+    return {(r.source, r.at): datetime.fromtimestamp(r.utc_us / 1e6, UTC).strftime("%m-%d") for r in got}
+
+
+def test_viterbi_overrules_a_weak_prior(spark):
+    """Neighbours that can only be month first make an ambiguous value month first; alone it follows the locale."""
+    rows = [("us", 0, "02/13/2024 10:00"), ("us", 1, "03/04/2024 10:00"), ("us", 2, "03/14/2024 10:00"), ("alone", 0, "03/04/2024 10:00"), ("clear", 0, "2024-03-04 10:00")]
+    got = chosen(spark, rows, 0.5)
+    assert got == {("us", 0): "02-13", ("us", 1): "03-04", ("us", 2): "03-14", ("alone", 0): "04-03", ("clear", 0): "03-04"}
+    assert chosen(spark, rows, 100.0)["us", 1] == "04-03"  # a strong prior stands
+
+
+def test_viterbi_against_brute_force(spark):
+    """The cheapest of all sequences of readings, for each source, whatever the partitions."""
+    rng = random.Random(6)
+    rows = [(f"s{k}", i, f"{rng.randrange(1, 15):02d}/{rng.randrange(1, 13):02d}/2024 10:00" if rng.random() < 0.7 else f"2024-{rng.randrange(1, 13):02d}-09 10:00") for k in range(12) for i in range(9)]
+    weight, switch, back = 0.7, 1.0, 2.0
+    got = chosen(spark, rows, weight, switch=switch, back=back)
+    for k in range(12):
+        options = [list(zip(*timestamps.readings_of(t, "de_DE", None, {}, weight), strict=True)) for s, _, t in rows if s == f"s{k}"]
+        price = lambda way: sum(x[2] for x in way) + sum(switch * (a[1] != b[1]) + back * (b[0] < a[0]) for a, b in zip(way, way[1:]))
+        least = min(map(price, product(*options)))
+        mine = [next(x for x in o if datetime.fromtimestamp(x[0] / 1e6, UTC).strftime("%m-%d") == got[f"s{k}", i]) for i, o in enumerate(options)]
+        assert abs(price(mine) - least) < 1e-9
+
+
 def test_running_totals_of_a_hot_key(spark):
     rows = [("hot", i, 1) for i in range(500)] + [(None, i, 2) for i in range(5)] + [("b", 0, None)]
     got = running_totals(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], ["i"], {"t": F.coalesce("v", F.lit(0))}).collect()
