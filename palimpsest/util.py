@@ -28,9 +28,11 @@ def blank(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else a local one that is set here (tests, local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir; only in local mode (tests) one is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,14 +59,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Null-safe equality of the named columns of two frames."""
-    on = F.lit(True)
-    for n in names:
-        on = on & left[n].eqNullSafe(right[n])
-    return on
-
-
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column], label: str = "running") -> DataFrame:
     """Inclusive running totals per key along an order, without ever giving one key to one task.
 
