@@ -41,8 +41,23 @@ def test_held_out_accuracy():
 
 def test_windows_cover_long_texts():
     text = ("word " * 300 + "zyxqy ") * 40
-    got = pii.windows(text, frozenset({"word"}))
-    assert all(any(a <= m and m + 5 <= b for a, b in got) for m in range(1500, 1500 * 40, 1506)) and all(b - a <= pii.WINDOW for a, b in got)
+    got = pii.everywhere(text)
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(b - a <= pii.WINDOW for a, b in got)
+    assert all(b - c >= pii.OVERLAP for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_places_and_ranges_that_no_label_names():
+    """Towns, streets, hosts and numbers that training never saw."""
+    said = {
+        "ADDRESS": ["14 Brackenfold Street, Wexmoor 40213", "Hagelbachstraße 7, 48291 Norderwik", "Calle Pinar Alto, 12, 29871 Ribasela", "33 rue des Merisiers, 61234 Belcourt"],
+        "EMAIL": ["torvik.lanum@pebblecrane.example", "j_osk (at) mornwick (dot) test"],
+        "PHONE": ["+1 (318) 555-0177", "+49 (0)30 23 125 42"],
+    }
+    for kind, values in said.items():
+        for value in values:
+            text = f"so far the review goes on. You can reach me at {value} after six. thanks"
+            found = pii.tag_texts(pii.Tagger.load(), [text], ORDINARY)[0]
+            assert any(k == kind and text[a:b] in value and b - a >= 0.6 * len(value) for k, a, b in found), (value, [(k, text[a:b]) for k, a, b in found])
 
 
 def test_frames(spark):
