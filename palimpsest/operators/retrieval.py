@@ -6,6 +6,8 @@ combining, and the best rows of each query are limited before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     return words.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", keep: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best documents of each query (query_id, query). A repeated term counts twice; negative idf is a millionth.
 
+    With ``keep`` (id) only these are answers; the others still count in the statistics.
+
     Only documents that hold a query's term are scored; the length statistics come from one aggregation over all documents.
     """
     lengths = docs.where(F.col(text).isNotNull()).select(F.size(tokens(F.col(text))).alias("len")).where("len > 0")
@@ -35,6 +39,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hits = postings(docs, key, text, asked.select("term").distinct())
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = hits if keep is None else hits.join(keep, "id", "left_semi")
     weighed = hits.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -42,12 +47,54 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     return ranked(scored.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6), k)
 
 
+DIMENSIONS = 64
+
+
+def embedded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, vec: texts as sums of signed unit vectors, one a word, by hashes of the words; the same in every engine, no model needed."""
+    p = postings(docs, key, text)
+    digits = lambda at, n: F.conv(F.substr(F.md5("term"), F.lit(at), F.lit(n)), 16, 10).cast("int")
+    parts = p.groupBy("id", (digits(1, 2) % DIMENSIONS).alias("dim")).agg(F.sum(F.when(digits(3, 1) % 2 == 0, F.col("tf")).otherwise(-F.col("tf"))).cast("double").alias("v"))
+    filled = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"))
+    return filled.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("vec"))
+
+
+#: Most queries and vectors that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 1_024, 32_768
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank of the k nearest vectors (id, vec) to each query (query_id, qvec) by cosine, exactly; the queries are a stated, bounded set."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = vectors.select("id", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm")).where("norm > 0")
-    asked = queries.select("query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"))).alias("qnorm")).where("qnorm > 0")
-    scored = unit.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", (F.floor(dot(F.col("vec"), F.col("qvec")) / (F.col("norm") * F.col("qnorm")) * 1e6 + 0.5) / 1e6).alias("score"))
+    """query_id, id, score, rank of the k nearest vectors (id, vec) to each query (query_id, qvec) by cosine, exactly; the queries are a stated set.
+
+    Blocks of queries meet blocks of vectors, one pair of blocks a task, and each gives at most k rows a query, so neither
+    side is broadcast or held whole. A query never finds the vector of its own identifier; zero vectors find nothing and
+    are not found; vectors must have one length.
+    """
+    of_queries, of_vectors = (-(-max(df.count(), 1) // size) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("id", "vec", block("id", of_vectors).alias("v"), every(of_queries).alias("q"))
+    right = queries.select("query_id", "qvec", block("query_id", of_queries).alias("q"), every(of_vectors).alias("v"))
+
+    def meet(_, bases: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": bases["id"].iloc[:0], "score": np.zeros(0)})
+        if not len(bases) or not len(asked):
+            return out
+        unit = lambda c: (lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300))(np.stack(c.to_numpy()).astype(float))
+        ids, b = bases["id"].to_numpy(), unit(bases["vec"])
+        seen = b.any(1)
+        for at in range(0, len(asked), 256):
+            names, q = asked["query_id"].to_numpy()[at : at + 256], unit(asked["qvec"].iloc[at : at + 256])
+            score = np.floor(q @ b.T * 1e6 + 0.5) / 1e6
+            score[:, ~seen] = score[~q.any(1)] = -np.inf
+            score[names[:, None] == ids[None, :]] = -np.inf
+            floor = np.partition(score, max(len(b) - k, 0), 1)[:, max(len(b) - k, 0)]  # ties with the k-th stay
+            i, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+            out = pd.concat([out, pd.DataFrame({"query_id": names[i], "id": ids[j], "score": score[i, j]})])
+        return out
+
+    scored = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     return ranked(scored, k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.operators import graph, retrieval
-from palimpsest.util import running_totals, table
+from palimpsest.util import every_50th, running_totals, table
 
 QUERIES, SQL = {}, {}
 
@@ -105,31 +105,10 @@ def flt_timeline(spark, sf_dir):
     return table(spark, sf_dir, "memory_candidates").where("created_at BETWEEN timestamp_ntz'2024-06-01' AND timestamp_ntz'2024-12-31'").select("candidate_id", "created_at")
 
 
-@query("flt_json_path", "SELECT row_id, json_extract_string(metadata_json, '$.project') AS project FROM raw_messages WHERE json_valid(metadata_json) AND json_extract_string(metadata_json, '$.project') IS NOT NULL")
+@query("flt_json_path", "SELECT row_id, json_extract_string(metadata_json, '$.client') AS client FROM raw_messages WHERE json_valid(metadata_json) AND json_extract_string(metadata_json, '$.client') IN ('desk', 'ide')")
 def flt_json_path(spark, sf_dir):
-    m = table(spark, sf_dir, "raw_messages").select("row_id", F.get_json_object("metadata_json", "$.project").alias("project"))
-    return m.where("project is not null")
-
-
-@query("flt_candidates", f"""SELECT candidate_id, (type IN ({', '.join(map(repr, TYPES))})) AS good_type, (confidence BETWEEN 0 AND 1 AND importance BETWEEN 1 AND 5) AS in_range,
-regexp_matches(coalesce(content, ''), '(?i)(api[_-]?key|token|secret|password)\\s*[:=]\\s*\\S{{8,}}') AS secret FROM memory_candidates""")
-def flt_candidates(spark, sf_dir):
-    """Which validators a candidate passes."""
-    c = table(spark, sf_dir, "memory_candidates")
-    return c.select("candidate_id", F.col("type").isin(TYPES).alias("good_type"), (F.col("confidence").between(0, 1) & F.col("importance").between(1, 5)).alias("in_range"), F.coalesce("content", F.lit("")).rlike(r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*\S{8,}").alias("secret"))
-
-
-_NOISE = [("empty", "coalesce(trim(text), '') = ''"), ("too short", "length(trim(text)) < 8"), ("too long", "length(trim(text)) > 2000"), ("traceback", "starts_with(ltrim(text), 'Traceback (most recent call last)')")]
-
-
-@query("flt_noise", "SELECT doc_id, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in _NOISE) + " WHEN regexp_matches(text, '[0-9a-f]{40,}') THEN 'hex dump' END AS reason FROM documents")
-def flt_noise(spark, sf_dir):
-    """The first rule that keeps a text from extraction, in order; null for texts that are kept."""
-    out = F.lit(None).cast("string")
-    out = F.when(F.col("text").rlike("[0-9a-f]{40,}"), "hex dump")
-    for name, rule in reversed(_NOISE):
-        out = F.when(F.expr(rule.replace("starts_with", "startswith")), name).otherwise(out)
-    return table(spark, sf_dir, "documents").select("doc_id", out.alias("reason"))
+    m = table(spark, sf_dir, "raw_messages").select("row_id", F.get_json_object("metadata_json", "$.client").alias("client"))
+    return m.where("client in ('desk', 'ide')")
 
 
 # -- joins and sets ---------------------------------------------------------------
@@ -361,11 +340,15 @@ def gra_cooccurrence(spark, sf_dir):
     return graph.cooccurrence(m, "candidate_id", "entity")
 
 
-@query("gra_neighbours", f"""WITH {_EDGES}, start AS (SELECT min(src) AS node FROM edges), one AS (SELECT DISTINCT node AS start, dst AS node FROM start JOIN edges ON src = node),
+_50TH = "try_cast('0x' || right({0}, 4) AS INT) % 50 = 0"
+
+
+@query("gra_neighbours", f"""WITH {_EDGES}, start AS (SELECT DISTINCT src AS node FROM edges WHERE {_50TH.format('src')}), one AS (SELECT DISTINCT node AS start, dst AS node FROM start JOIN edges ON src = node),
 two AS (SELECT DISTINCT o.start, e.dst AS node FROM one o JOIN edges e ON e.src = o.node WHERE e.dst <> o.start AND (o.start, e.dst) NOT IN (SELECT (start, node) FROM one)) SELECT start, node, 1 AS hops FROM one UNION ALL SELECT start, node, 2 FROM two""")
 def gra_neighbours(spark, sf_dir):
+    """What is reachable in two steps from the memories of the stated set."""
     e = _edges(spark, sf_dir)
-    return graph.neighbours(e, e.agg(F.min("src").alias("node")), 2)
+    return graph.neighbours(e, e.where(every_50th(F.col("src"))).select(F.col("src").alias("node")).distinct(), 2)
 
 
 def _pagerank_sql(rounds):
@@ -374,31 +357,39 @@ def _pagerank_sql(rounds):
   SELECT s.node, s.r * (0.5 + 0.5 * (SELECT coalesce(sum(r), 0) FROM {'seeds' if k == 1 else f'm{k - 1}'} x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.src = x.node))) FROM seeds s) GROUP BY node)"""
         for k in range(1, rounds + 1)
     )
-    return f"WITH {_EDGES}, t AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM edges), seeds AS (SELECT src AS node, 0.5 AS r FROM (SELECT DISTINCT src FROM edges ORDER BY src LIMIT 2)){steps.replace(' AS (SELECT node, sum', ' AS MATERIALIZED (SELECT node, sum')} SELECT node, floor(r * 1e6 + 0.5) / 1e6::DOUBLE AS rank FROM m{rounds} WHERE r >= 1e-5"
+    return f"WITH {_EDGES}, t AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM edges), seeds AS (SELECT src AS node, 1.0::DOUBLE / count(*) OVER () AS r FROM (SELECT DISTINCT src FROM edges WHERE {_50TH.format('src')})){steps.replace(' AS (SELECT node, sum', ' AS MATERIALIZED (SELECT node, sum')} SELECT node, floor(r * 1e6 + 0.5) / 1e6::DOUBLE AS rank FROM m{rounds} WHERE r >= 1e-5"
 
 
 @query("gra_pagerank", _pagerank_sql(8))
 def gra_pagerank(spark, sf_dir):
-    """Personalised PageRank from the two first memories, eight rounds."""
+    """Personalised PageRank from the memories of the stated set, all alike, eight rounds."""
     e = _edges(spark, sf_dir)
-    seeds = e.select(F.col("src").alias("node")).distinct().orderBy("node").limit(2).select("node", F.lit(0.5).alias("p"))
+    starts = e.where(every_50th(F.col("src"))).select(F.col("src").alias("node")).distinct()
+    seeds = starts.crossJoin(F.broadcast(starts.agg((1.0 / F.count("*")).alias("p"))))  # one row
     return graph.pagerank(e, seeds, 8).where("rank >= 1e-5").select("node", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
 
 
 # -- retrieval ----------------------------------------------------------------------------
-_ASK = "SELECT conversation_id AS query_id, title AS query FROM raw_conversations WHERE title IS NOT NULL AND user_id = (SELECT min(user_id) FROM raw_conversations)"
-_BM25 = f"""asked AS ({_ASK}), w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT id, w, len(w) AS len FROM w WHERE len(w) > 0),
-st AS (SELECT count(*) AS n, avg(len) AS mean_len FROM d), tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM asked) GROUP BY ALL),
-sc AS (SELECT query_id, id, floor(sum(times * CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6 END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / mean_len))) * 1e6 + 0.5) / 1e6::DOUBLE AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"""
+_ASK = f"SELECT conversation_id AS query_id, title AS query FROM raw_conversations WHERE title IS NOT NULL AND {_50TH.format('conversation_id')}"
+
+
+def bm25_sql(asked, p="", keep="true"):
+    """The common table expressions of one BM25 search by the queries of ``asked``: {p}asked to {p}bm (query_id, id, score, rank); ``keep`` is a condition on id."""
+    idf = "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
+    return f"""{p}asked AS ({asked}), {p}w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), {p}d AS (SELECT id, w, len(w) AS len FROM {p}w WHERE len(w) > 0),
+{p}st AS (SELECT count(*) AS n, avg(len) AS mean_len FROM {p}d), {p}tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(w) AS term FROM {p}d) GROUP BY ALL), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY 1),
+{p}q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {p}asked) GROUP BY ALL),
+{p}sc AS (SELECT query_id, id, floor(sum(times * CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6 END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / mean_len))) * 1e6 + 0.5) / 1e6::DOUBLE AS score FROM {p}tf JOIN {p}df USING (term) JOIN {p}q USING (term), {p}st WHERE {keep} GROUP BY 1, 2),
+{p}bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}sc)"""
+
+
+_BM25 = bm25_sql(_ASK)
 
 
 def _asked(spark, sf_dir):
-    """Queries: the titles of the conversations of the first user."""
-    c = table(spark, sf_dir, "raw_conversations").where("title is not null")
-    first = table(spark, sf_dir, "raw_conversations").agg(F.min("user_id").alias("first_user"))
-    return c.join(F.broadcast(first), F.col("user_id") == F.col("first_user")).select(F.col("conversation_id").alias("query_id"), F.col("title").alias("query"))
+    """Queries: the titles of the conversations of the stated set."""
+    c = table(spark, sf_dir, "raw_conversations").where(F.col("title").isNotNull() & every_50th(F.col("conversation_id")))
+    return c.select(F.col("conversation_id").alias("query_id"), F.col("title").alias("query"))
 
 
 @query("ret_bm25", f"WITH {_BM25} SELECT query_id, id, score, rank FROM bm WHERE rank <= 10")
@@ -414,19 +405,6 @@ def ret_dense(spark, sf_dir):
     return retrieval.dense(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10)
 
 
-@query("ret_hybrid", f"""WITH {_BM25}, recent AS (SELECT q.query_id, t.id, row_number() OVER (PARTITION BY q.query_id ORDER BY s DESC, t.id) AS rank FROM (SELECT DISTINCT query_id FROM q) q JOIN (SELECT query_id, id, max(score) AS x FROM bm WHERE rank <= 20 GROUP BY 1, 2) b USING (query_id) JOIN (SELECT doc_id AS id, updated_at AS s FROM documents) t ON t.id = b.id),
-l AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s, 0 AS l, rank AS r FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1, rank FROM recent),
-f AS (SELECT query_id, id, floor(sum(s) * 1e9 + 0.5) / 1e9::DOUBLE AS score, min((l, r)) AS first FROM l GROUP BY 1, 2)
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 10""")
-def ret_hybrid(spark, sf_dir):
-    """BM25 and recency fused by reciprocal ranks."""
-    words = retrieval.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 20)
-    at = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("updated_at").alias("s"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
-    recent = words.select("query_id", "id").join(at, "id").withColumn("rank", F.row_number().over(w))
-    return retrieval.fuse([words, recent], 10)
-
-
 @query("ret_context", f"""WITH {_BM25}, c AS (SELECT b.query_id, b.id, b.rank, sum(coalesce(n_chars, 0)) OVER (PARTITION BY b.query_id ORDER BY b.rank) AS used FROM bm b JOIN documents d ON d.doc_id = b.id WHERE b.rank <= 15)
 SELECT query_id, id, rank, used FROM c WHERE used <= 4000""")
 def ret_context(spark, sf_dir):

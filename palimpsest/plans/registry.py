@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import events, memory, problems, quality
+from palimpsest.plans import context, events, graphs, memory, problems, quality, records, texts
 
-MODULES = [problems, memory, events, quality]
+MODULES = [problems, memory, events, quality, texts, graphs, context, records]
 
 
 def queries():

@@ -21,6 +21,13 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select("path", "ordinal", F.col("x.m.role").alias("role"), F.col("x.m.content").alias("content"), F.coalesce("x.m.created_at", "x.m.timestamp").alias("created_at"), F.col("x.m.id").alias("external_id"))
 
 
+def messages_of(lines: DataFrame) -> DataFrame:
+    """role, content, created_at, external_id of the lines (value) that are JSON messages; for files of any size, as lines are read in splits."""
+    m = F.from_json("value", MESSAGE)
+    read = lines.withColumn("m", m).where(F.trim("m.role").isNotNull() & (F.trim("m.role") != "") & (F.trim("m.content") != ""))
+    return read.select("m.role", "m.content", F.coalesce("m.created_at", "m.timestamp").alias("created_at"), F.col("m.id").alias("external_id"))
+
+
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """path and prose of Markdown files: the lines that are no JSON message, as one document."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))

@@ -27,6 +27,11 @@ def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"(?U)[^\\s\\x{{1c}}-\\x{{1f}}]")
 
 
+def every_50th(identifier: Column) -> Column:
+    """The stated set of queries: identifiers whose last four digits, read as a hexadecimal number, are divisible by 50."""
+    return F.coalesce(identifier.rlike("[0-9a-f]{4}$") & (F.conv(F.right(identifier, F.lit(4)), 16, 10).cast("int") % 50 == 0), F.lit(False))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; only in local mode (tests) one is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
