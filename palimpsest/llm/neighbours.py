@@ -12,9 +12,12 @@ cells scanned for GOAL of them, at any size; the same pairs tell the error of th
 is farther than a neighbour can be are never scanned. With ``exact`` every cell within reach of that border rule is
 scanned and every pair in it is ranked by its exact cosine.
 
+Neighbouring cells, about NEAR_CELLS of them, make a group, and a vector is shuffled once to each group that holds one of
+its cells, with the list of them: the nearest cells of a vector mostly lie together.
+
 Copies of one vector are searched once and expanded at the end, so a vector held by a third of all rows makes no hot task.
-A cell with more than BLOCK rows, or asked by more than BLOCK, is split into blocks on that side: every group is bounded
-and no row is left out.
+A group with more than BLOCK rows, or asked by more than BLOCK, is split into blocks on that side: every task's share is
+bounded and no row is left out.
 
 Defined results: vectors that are null, of another length, all zero or with a null or non-finite number take no part;
 of an identifier that comes with several vectors the one with the least hash counts; null identifiers take no part; equal cosines go
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.util import materialize
 
-SAMPLE, CELL, MAX_CELLS, FINE, BLOCK = 32_768, 256, 4_096, 256, 4_096
+SAMPLE, CELL, MAX_CELLS, FINE, NEAR_CELLS, BLOCK = 32_768, 256, 4_096, 256, 8, 16_384
 #: Vectors whose neighbours are found by brute force, share of these that the scanned cells must hold, cells scanned where there are none.
-TRIED, GOAL, PROBES = 256, 0.998, 4
+TRIED, GOAL, PROBES = 256, 0.995, 4
 SUBSPACES, CENTRES = 16, 16
 #: Most rows (of three short columns, under 100 bytes each) of a broadcast.
 FEW = 500_000
@@ -91,6 +94,10 @@ class Codec:
         rest = x - self.centroids[near]
         self.fine = _centres(rest, n_fine, rng) if n_fine > 1 else np.zeros((1, self.dim), np.float32)
         rest -= self.fine[_nearest(rest, self.fine, 1)[:, 0]]
+        # Groups of neighbouring cells: of fine cells within a coarse one where there are enough, else of coarse ones.
+        points = self.fine if n_fine >= NEAR_CELLS else self.centroids
+        lots = _nearest(points, _centres(points, max(1, len(points) // NEAR_CELLS), rng), 1)[:, 0].astype(np.int32)
+        self.group = np.add.outer(np.arange(len(self.centroids), dtype=np.int32) * (lots.max() + 1), lots).ravel() if n_fine >= NEAR_CELLS else np.repeat(lots, n_fine)
         self.books = np.stack([rest[rng.permutation(len(x))[np.arange(CENTRES) % len(x)], m * self.sub : (m + 1) * self.sub] for m in range(SUBSPACES)])
         for _ in range(6):
             codes = self.encode(x, rest)
@@ -263,43 +270,67 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
     shared = spark.sparkContext.broadcast(codec)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
         for batch in batches:
-            cells, needed = shared.value.cells(_unit(_stack(batch["vec"], dim)).astype(np.float32), probes, reach)
-            yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "cells": [list(map(int, r[m])) for r, m in zip(cells, needed, strict=True)]})
+            cells, needed = c.cells(_unit(_stack(batch["vec"], dim)).astype(np.float32), probes, reach)
+            lots = c.group[cells]
+            at, lot, own, lists = [], [], [], []
+            for i in range(len(cells)):
+                mine = needed[i]
+                for g in dict.fromkeys(lots[i][mine].tolist()):  # the group of the own cell comes first
+                    at.append(i)
+                    own.append(not lists or at[-2] != i)
+                    lot.append(g)
+                    lists.append(cells[i][mine & (lots[i] == g)].tolist())
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at], "lot": lot, "own": own, "cells": lists})
 
     # Placing is cheap; it is done twice rather than written, as a copy of all vectors is not.
-    placed = distinct.mapInPandas(place, "id string, vec array<float>, cells array<int>").select("id", "vec", F.posexplode("cells").alias("rank", "cell"))
-    # At most MAX_CELLS * FINE rows of twelve bytes; as a rule none.
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("rank") == 0, 1)) / BLOCK).cast("int").alias("pb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pa")).where("pb > 1 or pa > 1")
+    placed = distinct.mapInPandas(place, "id string, vec array<float>, lot int, own boolean, cells array<int>")
+    # At most MAX_CELLS * FINE / NEAR_CELLS rows of twelve bytes; as a rule none.
+    sizes = placed.groupBy("lot").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("pb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pa")).where("pb > 1 or pa > 1")
     sizes = materialize(sizes, "cells")
     groups = _blocks(placed, sizes)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
+        c, empty = shared.value, pd.DataFrame({"q": pd.Series(dtype=str), "n": pd.Series(dtype=str), "cos": pd.Series(dtype=float)})
         group = group.drop_duplicates(["id", "base", "asks"])
-        base, asks = group[group["base"]], group[group["asks"]]
-        empty = pd.DataFrame({"q": pd.Series(dtype=str), "n": pd.Series(dtype=str), "cos": pd.Series(dtype=float)})
+        names, x = group["id"].to_numpy(), _stack(group["vec"], dim)
+        lists = group["cells"].to_numpy()
+        home = np.fromiter((r[0] for r in lists), np.int64, len(lists))
+        base = np.flatnonzero(group["base"].to_numpy())
+        asks = np.flatnonzero(group["asks"].to_numpy())
         if not len(base) or not len(asks):
             return empty
-        found = list(_search(shared.value, _stack(base["vec"], dim), base["id"].to_numpy(), int(group["cell"].iat[0]), _stack(asks["vec"], dim), asks["id"].to_numpy(), k, least, exact))
-        return pd.concat([empty, *(f for f in found if len(f))])
+        asks = np.repeat(asks, np.fromiter((len(lists[i]) for i in asks), np.int64, len(asks)))
+        wanted = np.concatenate([lists[i] for i in dict.fromkeys(asks.tolist())]).astype(np.int64)
+        found = []
+        for cell in np.unique(home[base]):
+            b, q = base[home[base] == cell], asks[wanted == cell]
+            if len(q):
+                found += [f for f in _search(c, x[b], names[b], int(cell), x[q], names[q], k, least, exact) if len(f)]
+        if not found:
+            return empty
+        found = pd.concat(found).sort_values(["q", "cos", "n"], ascending=[True, False, True])
+        return found.groupby("q", sort=False).head(k)
 
-    near = materialize(groups.groupBy("cell", "b", "a").applyInPandas(search, "q string, n string, cos double"), "near")
+    near = materialize(groups.groupBy("lot", "b", "a").applyInPandas(search, "q string, n string, cos double"), "near")
     return _expand(rows, reps, near, k)
 
 
 def _blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cell, b, a (block of bases, block of askers), id, vec, base, asks: in a large cell (``sizes``: its blocks pb, pa) each block of bases meets each of askers."""
-    whole = F.struct(F.lit(0).alias("b"), F.lit(0).alias("a"), (F.col("rank") == 0).alias("base"), F.lit(True).alias("asks"))
+    """placed with b, a (block of bases, block of askers), base, asks: in a large group (``sizes``: its blocks pb, pa) each block of bases meets each of askers."""
+    whole = F.struct(F.lit(0).alias("b"), F.lit(0).alias("a"), F.col("own").alias("base"), F.lit(True).alias("asks"))
+    columns = ["lot", "x.*", "id", "vec", "cells"]
     if not sizes.head(1):
-        return placed.select("cell", whole.alias("x"), "id", "vec").select("cell", "x.*", "id", "vec")
-    rows = placed.join(F.broadcast(sizes), "cell", "left")
+        return placed.withColumn("x", whole).select(*columns)
+    rows = placed.join(F.broadcast(sizes), "lot", "left")
     mine = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(parts)).cast("int")
     put = lambda b, a, base: F.struct(b.alias("b"), a.alias("a"), F.lit(base).alias("base"), F.lit(not base).alias("asks"))
     upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     as_asker = F.transform(upto("pb"), lambda b: put(b, mine(1, "pa"), False))
     as_base = F.transform(upto("pa"), lambda a: put(mine(0, "pb"), a, True))
-    both = F.when(F.col("pb").isNull(), F.array(whole)).when(F.col("rank") == 0, F.concat(as_base, as_asker)).otherwise(as_asker)
-    return rows.select("cell", F.explode(both).alias("x"), "id", "vec").select("cell", "x.*", "id", "vec")
+    both = F.when(F.col("pb").isNull(), F.array(whole)).when(F.col("own"), F.concat(as_base, as_asker)).otherwise(as_asker)
+    return rows.withColumn("x", F.explode(both)).select(*columns)
 
 
 def _representatives(every_row: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:

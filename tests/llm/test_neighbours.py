@@ -35,6 +35,35 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert len(want) > 500 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_exact_mode(spark):
+    """Every cell within reach, every pair by its exact cosine: nothing is lost, on one level and on two."""
+    rng = np.random.default_rng(7)
+    vectors = {f"v{i:04d}": x for i, x in enumerate((rng.normal(size=(60, 64)).repeat(10, 0) + 0.25 * rng.normal(size=(600, 64))).astype(np.float32))}
+    want = brute(vectors, 10, 0.9)
+    assert len(want) > 500 and run(spark, list(vectors.items()), exact=True) == want
+
+
+def test_two_levels(spark, monkeypatch):
+    """With few coarse cells the second level is used; the same neighbours are found."""
+    monkeypatch.setattr(neighbours, "MAX_CELLS", 4)
+    monkeypatch.setattr(neighbours, "CELL", 10)
+    vectors = clusters(np.random.default_rng(3), 60, 16)
+    want = brute(vectors, 10, 0.9)
+    got = run(spark, list(vectors.items()))
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+    assert run(spark, list(vectors.items()), exact=True) == want
+
+
+def test_thousands_of_groups_that_are_too_large(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 4)
+    monkeypatch.setattr(neighbours, "NEAR_CELLS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 2)
+    vectors = clusters(np.random.default_rng(5), 2100, 3)
+    got = run(spark, list(vectors.items()))
+    want = {(f"m{t:03d}_{a:03d}", f"m{t:03d}_{b:03d}") for t in range(2100) for a in range(3) for b in range(a + 1, 3)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_dirty_rows_and_copies(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=64).astype(np.float32)
