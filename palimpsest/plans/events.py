@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.sources import transcripts
 from palimpsest.streaming import events
-from palimpsest.util import new_path, table
+from palimpsest.util import new_path, table, with_previous
 
 QUERIES, SQL = {}, {}
 
 
 def str_windows(spark, sf_dir):
-    """Events by hour and kind, through the streaming operator run over all files there are."""
+    """Events by hour and kind, through the streaming operator run over all files there are: the windows that the watermark, two hours behind the last event, has closed."""
     like = table(spark, sf_dir, "events")
     folder, out, check = (new_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
     like.select("event_id", "ts", "event_type", "value").write.parquet(folder)
-    stream = events.windowed(events.source(spark, folder, spark.read.parquet(folder), 1_000))
-    stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", check).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    events.drain(events.windowed(events.source(spark, folder, spark.read.parquet(folder), 1_000)), check, out)
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", S.rounded(F.col("total"), 2).alias("total"))
 
 
 QUERIES["str_windows"] = str_windows
-SQL["str_windows"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100.0::DOUBLE AS total FROM events GROUP BY 1, 2"
+SQL["str_windows"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100.0::DOUBLE AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
 
 def str_once(spark, sf_dir):
@@ -42,9 +40,8 @@ SQL["str_once"] = "SELECT DISTINCT conversation_id, message_id FROM ingest_event
 
 def str_gaps(spark, sf_dir):
     """The longest pause of each user and the events after pauses of an hour or more."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    gap = e.withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")))
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    gap = with_previous(e, "user_id", ["at", "event_id"], "at", "gaps").withColumn("gap", F.col("at") - F.col("before"))
     return gap.groupBy("user_id").agg(F.max("gap").alias("longest_us"), F.count_if(F.coalesce(F.col("gap"), F.lit(0)) >= 3_600_000_000).alias("resumed"))
 
 

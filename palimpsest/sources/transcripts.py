@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.util import running_totals
+
 MESSAGE = "role string, content string, created_at string, timestamp string, id string"
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """path, ordinal, role, content, created_at, external_id of transcripts with one JSON message a line.
 
-    Lines that are no JSON object, or have no role or no content, are prose and give no message; the ordinal counts the
-    messages of a file from 0 in the order of its lines. Every file is one transcript and is read by one task.
+    Lines that are no JSON object, or have no role or no content, are prose and give no message (with ``strict`` they are
+    an error); the ordinal counts the messages of a file from 0 in the order of its lines. Files are read in splits: the
+    order is that of the splits and of the rows in each, and ordinals are running counts over range partitions.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    read = lines.withColumn("m", F.from_json("value", MESSAGE)).where(F.trim("m.role").isNotNull() & (F.trim("m.content") != ""))
-    kept = read.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "m"))).alias("ms"))
-    out = kept.select("path", F.posexplode("ms").alias("ordinal", "x"))
-    return out.select("path", "ordinal", F.col("x.m.role").alias("role"), F.col("x.m.content").alias("content"), F.coalesce("x.m.created_at", "x.m.timestamp").alias("created_at"), F.col("x.m.id").alias("external_id"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    if strict:
+        whole = F.from_json("value", MESSAGE)
+        lines = lines.withColumn("value", F.when((F.trim("value") != "") & (whole["role"].isNull() | whole["content"].isNull()), F.raise_error(F.lit("a line is no message"))).otherwise(F.col("value")))
+    counted = running_totals(messages_of(lines), ["path"], ["block", "line"], {"ordinal": F.lit(1)}, "lines")
+    return counted.select("path", (F.col("ordinal") - 1).cast("int").alias("ordinal"), "role", "content", "created_at", "external_id")
 
 
 def messages_of(lines: DataFrame) -> DataFrame:
-    """role, content, created_at, external_id of the lines (value) that are JSON messages; for files of any size, as lines are read in splits."""
+    """role, content, created_at, external_id, and the other columns, of the lines (value) that are JSON messages; for files of any size, as lines are read in splits."""
     m = F.from_json("value", MESSAGE)
     read = lines.withColumn("m", m).where(F.trim("m.role").isNotNull() & (F.trim("m.role") != "") & (F.trim("m.content") != ""))
-    return read.select("m.role", "m.content", F.coalesce("m.created_at", "m.timestamp").alias("created_at"), F.col("m.id").alias("external_id"))
+    return read.select(*(c for c in lines.columns if c != "value"), "m.role", "m.content", F.coalesce("m.created_at", "m.timestamp").alias("created_at"), F.col("m.id").alias("external_id"))
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:

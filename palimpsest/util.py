@@ -85,3 +85,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     return rows.join(sums, on).select(*(c for c in df.columns if c not in totals), *((F.col(k) + F.col(f"__before_{k}")).alias(k) for k in totals))
+
+
+def with_previous(df: DataFrame, key: str, order: Sequence[str], column: str, label: str = "previous") -> DataFrame:
+    """df with ``before``: the value of ``column`` in the row before, in an order that is unique within a key; null for the first.
+
+    Rows are range-partitioned by key and order, so a hot key spreads over many partitions; one row per key and partition
+    carries the last value over the border. Nulls of the column itself are passed over at borders only.
+    """
+    spread = materialize(df.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), label)
+    here = Window.partitionBy(key, "__part").orderBy(*order)
+    ends = spread.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__at")).agg(F.max_by(column, F.struct(*order)).alias("__end"))
+    ends = ends.select("__key", "__at", F.lag("__end").over(Window.partitionBy("__key").orderBy("__at")).alias("__carry"))
+    rows = spread.withColumns({"__lag": F.lag(column).over(here), "__first": F.row_number().over(here) == 1})
+    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
+    return joined.select(*df.columns, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag")).alias("before"))
