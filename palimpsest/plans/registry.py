@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import context, events, graphs, memory, problems, quality, records, texts
+from palimpsest.plans import context, events, graphs, memory, more, problems, quality, records, texts
 
-MODULES = [problems, memory, events, quality, texts, graphs, context, records]
+MODULES = [problems, memory, events, quality, texts, graphs, context, records, more]
 
 
 def queries():
