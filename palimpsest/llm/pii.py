@@ -165,7 +165,7 @@ class Tagger:
         return tags
 
 
-def tag_texts(tagger: Tagger, texts: list[str], ordinary: frozenset[str], batch: int = 256) -> list[list[tuple[str, int, int]]]:
+def tag_texts(tagger: Tagger, texts: list[str], ordinary: frozenset[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """Mentions (type, start, end) of each text."""
     coded, places = [], []
     for i, text in enumerate(texts):
@@ -201,16 +201,11 @@ def tag_texts(tagger: Tagger, texts: list[str], ordinary: frozenset[str], batch:
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
-    found, start, kind = [], 0, 0
-    for p in range(len(tags) + 1):
-        t = int(tags[p]) if p < len(tags) else 0
-        now = (t + 1) // 2
-        if kind and (now != kind or t % 2):
-            found.append((TYPES[kind - 1], start, p))
-            kind = 0
-        if now and not kind:
-            start, kind = p, now
-    return found
+    kind = (tags + 1) // 2
+    # A mention begins where the type changes or a first tag stands, and ends where the next one begins.
+    edge = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1)]) if len(tags) else np.zeros(0, int)
+    ends = np.r_[edge[1:], len(tags)]
+    return [(TYPES[k - 1], int(x), int(y)) for x, y, k in zip(edge, ends, kind[edge].tolist(), strict=True) if k]
 
 
 # -- check of what was found ----------------------------------------------------
