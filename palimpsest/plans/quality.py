@@ -147,6 +147,10 @@ def gra_entity_members(spark, sf_dir):
 
 
 QUERIES |= {"gra_entity_links": gra_entity_links, "gra_entity_members": gra_entity_members}
+_SETS = "s AS (SELECT candidate_id, list_sort(list_distinct(list_filter(entities, lambda x: x IS NOT NULL))) AS e FROM memory_candidates), k AS (SELECT candidate_id, sha256(to_json(e)::VARCHAR) AS set_id, e FROM s WHERE len(e) > 0)"
+SQL["gra_entity_members"] = f"WITH {_SETS} SELECT set_id, candidate_id FROM k"
+SQL["gra_entity_links"] = f"""WITH {_SETS}, d AS (SELECT set_id, e, count(*) AS members FROM k GROUP BY 1, 2), u AS (SELECT set_id, len(e) AS n, unnest(e) AS x FROM d), m AS (SELECT p.set_id AS a, q.set_id AS b, p.n AS na, q.n AS nb, count(*) AS c FROM u p JOIN u q ON p.x = q.x AND p.set_id < q.set_id GROUP BY 1, 2, 3, 4)
+SELECT a, b, floor(c / (na + nb - c)::DOUBLE * 10000 + 0.5) / 10000.0::DOUBLE AS jaccard FROM m UNION ALL SELECT set_id, set_id, 1.0::DOUBLE FROM d WHERE members > 1"""
 
 
 def rap_terms(spark, sf_dir):
