@@ -6,8 +6,9 @@ length and weight. Rounds are few: proportional to the logarithm of the longest
 of each round are written down; undone in reverse they give each node its root, depth, path and number of descendants.
 A component with a cycle shrinks to a self-loop that nothing can remove: it and all below it are reported.
 
-Every step is a join or an aggregation with map-side combining, so a parent of a third of all rows makes no hot task
-(its children are summed, not collected).
+Children are summed with map-side combining, never collected. Where children are joined with their parent, parents of more
+than one row in HOT and of LEAST children are joined by a broadcast of those parents (at most HOT rows), so a parent of a
+third of all rows makes no hot task; rows without a parent take no part in any join on parents.
 
 Defined results: a parent that is null, blank or not an identifier of the table makes a root (depth 0); of repeated
 identifiers with different parents the smallest parent counts; null identifiers give no row; a node on a cycle or below
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.util import blank, discard, materialize, new_path
 
+HOT, LEAST = 1_000, 10_000
 RESULT = "id string, root_id string, depth int, descendants bigint, path array<string>"
 
 
@@ -30,18 +32,41 @@ def _h(c: str, salt: int):
     return F.xxhash64(F.lit(salt), F.col(c))
 
 
-def parents(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """One row per identifier: id, par (null for roots, also where the parent is blank or missing from the table)."""
+def hot_parents(pairs: DataFrame) -> DataFrame | None:
+    """The parents (hot) of very many rows, at most HOT; None if there are none."""
+    count = materialize(pairs.where("par is not null").groupBy("par").agg(F.count("*").alias("n")).where(F.col("n") > LEAST).select(F.col("par").alias("hot"), "n"), "tree-large")
+    if not count.head(1):
+        return None
+    total = pairs.count()
+    return count.where(F.col("n") > total / HOT).select("hot")
+
+
+def with_parent(rows: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with the row of ``right`` (unique in ``key``) of their parent."""
+    on = F.col("par") == F.col(key)
+    if hot is None:
+        return rows.join(right, on)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, F.col("par") == F.col("hot"), "left_anti").join(right, on)
+    return cold.unionByName(rows.join(hot, F.col("par") == F.col("hot"), "left_semi").join(F.broadcast(right.join(hot, F.col(key) == F.col("hot"), "left_semi")), on))
+
+
+def parents(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame | None]:
+    """One row per identifier: id, par (null for roots, also where the parent is blank or missing from the table); and the hot parents."""
     pairs = rows.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.min(F.when(~blank(F.col(parent)), F.col(parent))).alias("par"))
+    pairs = materialize(pairs, "tree-pairs")
+    hot = hot_parents(pairs)
     known = pairs.select(F.col("id").alias("known"))
-    return pairs.join(known, pairs["par"] == known["known"], "left").select("id", F.col("known").alias("par"))
+    inner = with_parent(pairs.where("par is not null"), known, "known", hot).select("id", "par")
+    return pairs.select("id").join(inner, "id", "left"), hot
 
 
 def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id", with_paths: bool = False, max_rounds: int = 400) -> DataFrame:
     """id, root_id, depth, descendants and, if asked for, path (root first, the node itself last)."""
     spark = rows.sparkSession
     empty = F.array().cast("array<string>")
-    one = materialize(parents(rows, node, parent), "tree-parents")
+    one, hot = parents(rows, node, parent)
+    one = materialize(one, "tree-parents")
     kids = one.where("par is not null").groupBy(F.col("par").alias("p")).agg(F.count("*").alias("kids"))
     state = one.join(kids, one["id"] == kids["p"], "left").select(
         "id", "par", F.lit(1).alias("len"), F.lit(1).cast("bigint").alias("cnt"), F.lit(0).cast("bigint").alias("extra"), F.coalesce("kids", F.lit(0)).cast("bigint").alias("kids"), empty.alias("seg")
@@ -92,11 +117,11 @@ def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id", with
                 continue
             all_known = spark.read.schema(first.schema).parquet(folder)
             up = all_known.select(F.col("id").alias("u_id"), "root_id", F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
-            found = removed.join(up, removed["par"] == up["u_id"])
+            found = with_parent(removed, up, "u_id", hot)
             total = F.col("cnt")
             if chain:
                 down = all_known.select(F.col("id").alias("d_id"), F.col("cnt").alias("d_cnt"))
-                found = found.join(down, found["child"] == down["d_id"])
+                found = found.join(down, F.col("child") == F.col("d_id"))
                 total = F.col("cnt") + F.col("c_extra") + F.col("d_cnt")
             lost = F.col("root_id") == ""
             way = F.when(lost, empty).otherwise(F.concat("u_path", "seg", F.array("id"))) if with_paths else empty

@@ -47,6 +47,15 @@ def test_hierarchy_against_brute_force(spark):
     assert hierarchy.hierarchy(df.limit(0)).collect() == []
 
 
+def test_hierarchy_with_a_hot_parent(spark, monkeypatch):
+    """Parents of many rows go by another join; the result is the same."""
+    monkeypatch.setattr(hierarchy, "LEAST", 5)
+    monkeypatch.setattr(hierarchy, "HOT", 10)
+    rows = [(f"s{i}", "s0" if i else None) for i in range(90)] + [(f"t{i}", f"s{i}") for i in range(30)] + [(f"u{i}", "u0") for i in range(40)] + [("x", "gone"), ("y", "x")]
+    got = hierarchy.hierarchy(spark.createDataFrame(rows, "id string, parent_id string"), with_paths=True).collect()
+    assert {r.id: (r.root_id, r.depth, r.descendants) for r in got} == brute_tree(rows)
+
+
 def test_delivery(spark):
     rows = [(1, "c", " m", 5, "a"), (2, "c", "m ", 3, "b"), (3, "c", "m", 3, "c"), (4, "d", "m", 1, "d"), (5, "c", None, 1, "e"), (6, "c", "  ", 1, "f"), (7, "c", "M", 1, "g"), (8, None, "m", None, "h"), (9, None, "m", 2, "i")]
     path = new_path(spark, "test")
