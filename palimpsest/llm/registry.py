@@ -31,6 +31,20 @@ def p6_sessions(spark, sf_dir):
     return conversations.session_turns(e).withColumnRenamed("id", "delivery_id")
 
 
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+SQL["p6_sessions"] = f"""WITH e AS (SELECT coalesce(project, conversation_id) AS channel, epoch_us(received_at) AS at_us, delivery_id AS id, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE lower(trim(role)) END AS role
+  FROM ({problems._RANKED}) WHERE m = '' OR rn = 1), u AS (SELECT * FROM e WHERE channel IS NOT NULL AND at_us IS NOT NULL),
+g AS (SELECT *, (at_us - lag(at_us) OVER (PARTITION BY channel ORDER BY at_us, id)) / 1000000.0::DOUBLE AS gap FROM u), bins AS (SELECT greatest(floor(log2(gap)), 0)::INT AS b, count(*) AS n FROM g WHERE gap > 0 GROUP BY 1),
+top AS (SELECT b FROM bins ORDER BY n DESC, b LIMIT 1), cut AS (SELECT greatest(60.0, 1.5 * pow(2, coalesce((SELECT r.b FROM (SELECT unnest(range(0, 64)) AS b) r LEFT JOIN bins USING (b) WHERE r.b > (SELECT b FROM top) AND r.b <= (SELECT max(b) FROM bins) ORDER BY coalesce(n, 0), r.b LIMIT 1), (SELECT max(b) FROM bins)))) AS secs),
+s AS (SELECT channel, at_us, id, role, sum(CASE WHEN gap IS NULL OR gap > secs THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY at_us, id) AS session_no FROM g, cut),
+f AS (SELECT *, coalesce(role IN ('user', 'assistant'), false) AS talk, NOT coalesce(role IN ({_IN(conversations.ALLOWED)}), false) AS unknown, coalesce(role IN ({_IN(conversations.TURNS)}), false) OR NOT coalesce(role IN ({_IN(conversations.ALLOWED)}), false) AS is_turn FROM s),
+c AS (SELECT *, sum((talk OR unknown)::INT) OVER w AS pos, sum(talk::INT) OVER w AS known, sum(is_turn::INT) OVER w AS turn FROM f WINDOW w AS (PARTITION BY channel, session_no ORDER BY at_us, id)),
+r AS (SELECT c.channel, c.session_no, c.at_us, c.id, c.turn, CASE WHEN NOT c.unknown THEN c.role WHEN (coalesce(c.pos - k.pos, c.pos - 1) % 2 = 0) = (coalesce(k.role, 'user') = 'user') THEN 'user' ELSE 'assistant' END AS role
+  FROM c LEFT JOIN c k ON c.unknown AND k.talk AND k.channel = c.channel AND k.session_no = c.session_no AND k.known = greatest(c.known, 1) WHERE c.is_turn),
+ok AS (SELECT channel, session_no FROM r GROUP BY 1, 2 HAVING max((at_us, id)) FILTER (role = 'assistant') > min((at_us, id)) FILTER (role = 'user'))
+SELECT r.channel, r.session_no, (r.turn - 1)::INT AS turn_no, r.id AS delivery_id, r.role FROM r JOIN ok USING (channel, session_no)"""
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
