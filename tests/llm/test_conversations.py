@@ -51,3 +51,12 @@ def test_sessions_take_one_delivery_of_each_message(spark):
     turns = __spark_entry__.queries()["p6_sessions"](spark, DATA)
     assert turns.columns == ["channel", "session_no", "turn_no", "delivery_id", "role"]
     assert turns.count() > 0 == turns.join(__spark_entry__.queries()["p4_found"](spark, DATA), "delivery_id").count()
+
+
+def test_sessions_against_sql(spark):
+    from compare import compare
+    from conftest import DATA
+
+    registry = pytest.importorskip("palimpsest.llm.registry")
+    got, want, same = compare(spark, DATA, registry.queries()["p6_sessions"], registry.oracle_sql()["p6_sessions"])
+    assert same, (len(got), len(want), sorted(set(got) ^ set(want), key=repr)[:4])
