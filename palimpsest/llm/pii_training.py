@@ -16,7 +16,7 @@ import pandas as pd
 
 from palimpsest.llm import pii
 
-ROWS, HIDDEN, EPOCHS, BATCH, SEED = 30_000, 40, 8, 40, 11
+ROWS, HIDDEN, EPOCHS, BATCH, SEED = 30_000, 32, 14, 40, 11
 #: Share of the windows of texts without a mention that training takes.
 PLAIN = 0.35
 
@@ -250,7 +250,7 @@ def step(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     return float((z - gold).mean()), {name: (g / n).astype(np.float32) for name, g in grads.items()}
 
 
-def fit(data: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, hidden: int = HIDDEN, rate: float = 8e-3, seed: int = SEED, log=print) -> dict[str, np.ndarray]:
+def fit(data: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, hidden: int = HIDDEN, rate: float = 9e-3, seed: int = SEED, log=print) -> dict[str, np.ndarray]:
     """Weights by Adam on batches of windows of like length."""
     rng = np.random.default_rng(seed)
     w = fresh(rng, hidden)
