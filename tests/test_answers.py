@@ -87,3 +87,18 @@ def test_json_lines_in_splits(spark):
             transcripts.json_lines(spark, path, strict=True).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_diverse_order():
+    """Each pick has the greatest 0.7 relevance less 0.3 likeness to what was picked, recomputed from scratch."""
+    from palimpsest.plans.quality import diverse
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        v = rng.normal(size=(12, 4))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        s = rng.random(12).round(1)
+        got = diverse(s, v, 6, 0.7)
+        for i, pick in enumerate(got):
+            worth = {j: round(0.7 * s[j] - 0.3 * (max(v[j] @ v[c] for c in got[:i]) if i else 0.0), 12) for j in range(12) if j not in got[:i]}
+            assert pick == min(worth, key=lambda j: (-worth[j], j))
