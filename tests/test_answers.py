@@ -1,6 +1,9 @@
 """Operators of retrieval, graphs, texts and sources against brute force and fixed values."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -8,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import retrieval
-from palimpsest.plans import context, graphs, texts
+from palimpsest.plans import context, graphs, quality, texts
 from palimpsest.sources import transcripts
 from palimpsest.util import new_path, with_previous
 
@@ -102,3 +105,86 @@ def test_diverse_order():
         for i, pick in enumerate(got):
             worth = {j: round(0.7 * s[j] - 0.3 * (max(v[j] @ v[c] for c in got[:i]) if i else 0.0), 12) for j in range(12) if j not in got[:i]}
             assert pick == min(worth, key=lambda j: (-worth[j], j))
+
+
+def shuffled(spark, action) -> int:
+    """Rows that the action shuffles."""
+
+    def written():
+        gateway, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        none = gateway.jvm.java.util.ArrayList()
+        stages = context.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    action()
+    return written() - before
+
+
+def test_bm25_shuffles_no_sums(spark):
+    """Each query holds a word of every document, so the sums are as many as queries times documents."""
+    docs = spark.createDataFrame([(i, f"common w{i} x") for i in range(400)], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(f"q{i}", f"common w{i}") for i in range(400)], "query_id string, query string")
+    got = []
+    assert shuffled(spark, lambda: got.extend(retrieval.bm25(docs, ask, 1).collect())) < 20_000
+    assert sorted((r.query_id, r.id) for r in got) == sorted((f"q{i}", i) for i in range(400))
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    """Rows of one identifier, of one length or not, null identifiers and texts, and answers that are not kept; in small blocks."""
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 9)
+    monkeypatch.setattr(retrieval, "ASKED_BLOCK", 20)
+    rng = random.Random(4)
+    say = lambda: " ".join(rng.choice("ab ab cd Ef gh ij kl \u00e9t x9".split()) for _ in range(rng.randrange(9)))
+    docs = [(None if rng.random() < 0.02 else rng.randrange(70), None if rng.random() < 0.05 else say()) for _ in range(100)]
+    ask = [(f"q{i}", say()) for i in range(12)] + [("none", None), ("lost", "zz")]
+    words = lambda x: re.findall(r"\w+", x.lower())
+    kept = {i for i in range(70) if i % 3}
+    for keep in (None, kept):
+        tf = Counter((i, len(words(t)), w) for i, t in docs if t for w in words(t))
+        df, sizes = Counter(w for _, _, w in tf), [len(words(t)) for _, t in docs if t and words(t)]
+        n, mean = len(sizes), sum(sizes) / len(sizes)
+        want = {}
+        for q, a in ask:
+            score = Counter()
+            for (i, size, w), f in tf.items():
+                if times := words(a or "").count(w):
+                    idf = math.log((n - df[w] + 0.5) / (df[w] + 0.5))
+                    score[i] += times * (idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))
+            best = sorted(((-math.floor(s * 1e6 + 0.5) / 1e6, i is None, i) for i, s in score.items() if keep is None or i in keep), key=lambda x: (x[0], x[1], x[2] or 0))
+            want[q] = [(i, -s) for s, _, i in best[:5]]
+        frame = spark.createDataFrame([(i,) for i in keep], "id int") if keep else None
+        got = {q: [] for q, _ in ask}
+        for r in retrieval.bm25(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(ask, "query_id string, query string"), 5, keep=frame).orderBy("rank").collect():
+            got[r.query_id].append((r.id, r.score))
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+        assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_embedding_shuffles_vectors_only(spark):
+    docs = spark.createDataFrame([(i % 190, " ".join(f"w{i + j}" for j in range(60))) for i in range(200)], "id int, text string")
+    got = []
+    assert shuffled(spark, lambda: got.extend(retrieval.embedded(docs, "id", "text").collect())) < 1_000
+    assert len(got) == 190 and all(sum(map(abs, r.vec)) % 2 == 0 for r in got)
+
+
+def test_own_vector_and_ties_in_dense(spark):
+    """Vectors of one identifier are all passed over for its own query; ties with the k-th go by identifier."""
+    v = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])] + [(i, [2.0, 0.0]) for i in range(600, 10, -1)]
+    df = spark.createDataFrame(v, "id int, vec array<double>")
+    got = retrieval.dense(df, df.where("id = 2 or id = 1 and vec[1] = 0").selectExpr("id as query_id", "vec as qvec"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, 11), (1, 12), (1, 13), (2, 1), (2, 1), (2, 11)]
+
+
+def test_titles_are_looked_for_without_runs(spark, monkeypatch):
+    """No run of characters is shuffled; overlapping, equal, short and long titles are all found, over borders of slices."""
+    monkeypatch.setattr(quality, "SLICE", 64)
+    rng = random.Random(5)
+    docs = [(i, None if i == 7 else "".join(rng.choice("abA \u00e9") for _ in range(rng.randrange(60)))) for i in range(150)]
+    asked = [(i, (t := docs[i][1] or "")[(a := rng.randrange(len(t) + 1)) : a + rng.randrange(1, 40)] or "b") for i in range(60)] + [(100, "aa"), (101, "aa"), (102, "nowhere"), (103, None)]
+    got = []
+    frames = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(asked, "query_id int, query string")
+    moved = shuffled(spark, lambda: got.extend(quality.holders(*frames).collect()))
+    assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q, a in asked if a is not None for i, t in docs if t is not None and a.lower() in t.lower()]
+    assert moved < 3_000
