@@ -188,3 +188,13 @@ def test_titles_are_looked_for_without_runs(spark, monkeypatch):
     moved = shuffled(spark, lambda: got.extend(quality.holders(*frames).collect()))
     assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q, a in asked if a is not None for i, t in docs if t is not None and a.lower() in t.lower()]
     assert moved < 3_000
+
+
+def test_modes_are_judged_on_one_search(spark, monkeypatch):
+    """The legs are searched once for all modes."""
+    from conftest import DATA
+
+    calls, legs = [], context.legs
+    monkeypatch.setattr(context, "legs", lambda *a, **k: calls.append(a) or legs(*a, **k))
+    context.evl_modes(spark, DATA)
+    assert len(calls) == 1
