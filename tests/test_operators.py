@@ -2,6 +2,7 @@ import random
 from datetime import UTC, datetime
 from itertools import product
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
@@ -106,6 +107,18 @@ def test_viterbi_overrules_a_weak_prior(spark):
     assert chosen(spark, rows, 100.0)["us", 1] == "04-03"  # a strong prior stands
 
 
+def test_rules_need_no_sequence(spark):
+    """What the rules settle is read value by value; with a prior that always stands the sequence gives the same."""
+    from palimpsest.plans import problems
+
+    found = problems.p1_found(spark, DATA)
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    a, b, c = problems.created_at(spark, DATA)
+    read = timestamps.interpret(a.unionAll(b).unionAll(c), "created_at", "locale", "client_zone", problems.abbreviations(spark, DATA))
+    solved = timestamps.choose(read.drop("created_at", "locale", "client_zone"), "source", ["at", "tie"]).where("broken = 0").select(*found.columns)
+    assert found.exceptAll(solved).count() == solved.exceptAll(found).count() == 0 < found.count()
+
+
 def test_viterbi_against_brute_force(spark):
     """The cheapest of all sequences of readings, for each source, whatever the partitions."""
     rng = random.Random(6)
