@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.util import materialize
+from palimpsest.util import discard, materialize
 
 SAMPLE, CELL, MAX_CELLS, FINE, NEAR_CELLS, BLOCK = 32_768, 256, 4_096, 256, 8, 16_384
 #: Vectors whose neighbours are found by brute force, share of these that the scanned cells must hold, cells scanned where there are none.
@@ -64,6 +64,9 @@ def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     half = (centroids * centroids).sum(1) / 2
     for a in range(0, len(x), 4096):
         s = x[a : a + 4096] @ centroids.T - half
+        if k == 1:
+            out.append(s.argmax(1)[:, None])
+            continue
         top = np.argpartition(-s, min(k, s.shape[1]) - 1, 1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
         out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1))
     return np.concatenate(out) if out else np.zeros((0, k), int)
@@ -75,8 +78,8 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     for _ in range(5):
         near = _nearest(x, out, 1)[:, 0]
         count = np.bincount(near, minlength=len(out))
-        total = np.zeros(out.shape, np.float64)
-        np.add.at(total, near, x)
+        total, held = np.zeros(out.shape, np.float64), np.flatnonzero(count)
+        total[held] = np.add.reduceat(x[np.argsort(near, kind="stable")].astype(np.float64), (np.cumsum(count) - count)[held])
         out = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], out).astype(np.float32)
     return out
 
@@ -172,9 +175,9 @@ class Codec:
 
     def _fit(self, x: np.ndarray, rest: np.ndarray, codes: np.ndarray) -> None:
         """Codebooks for given codes: weighted least squares, one small system per centre."""
+        err = rest - self.decode(codes)
         for m in range(SUBSPACES):
             at = slice(m * self.sub, (m + 1) * self.sub)
-            err = rest - self.decode(codes)
             along = (x * err).sum(1) - (x[:, at] * err[:, at]).sum(1)
             for k in range(CENTRES):
                 own = codes[:, m] == k
@@ -184,6 +187,7 @@ class Codec:
                 left = self.weight * xm.T @ xm + own.sum() * np.eye(self.sub)
                 right = (self.weight * (along[own] + (xm * rm).sum(1))[:, None] * xm + rm).sum(0)
                 self.books[m, k] = np.linalg.solve(left, right)
+            err[:, at] = rest[:, at] - self.books[m][codes[:, m]]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
@@ -284,8 +288,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
                     lists.append(cells[i][mine & (lots[i] == g)].tolist())
             yield pd.DataFrame({"id": batch["id"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at], "lot": lot, "own": own, "cells": lists})
 
-    # Placing is cheap; it is done twice rather than written, as a copy of all vectors is not.
-    placed = distinct.mapInPandas(place, "id string, vec array<float>, lot int, own boolean, cells array<int>")
+    # Placing takes more than writing the vectors once for each of their groups; that copy is deleted after the search.
+    placed = materialize(distinct.mapInPandas(place, "id string, vec array<float>, lot int, own boolean, cells array<int>"), "placed")
     # At most MAX_CELLS * FINE / NEAR_CELLS rows of twelve bytes; as a rule none.
     sizes = placed.groupBy("lot").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("pb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pa")).where("pb > 1 or pa > 1")
     sizes = materialize(sizes, "cells")
@@ -314,6 +318,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, dim: int = 64,
         return found.groupby("q", sort=False).head(k)
 
     near = materialize(groups.groupBy("lot", "b", "a").applyInPandas(search, "q string, n string, cos double"), "near")
+    discard(placed)
     return _expand(rows, reps, near, k)
 
 

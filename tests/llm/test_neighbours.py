@@ -89,3 +89,20 @@ def test_codes_weigh_the_parallel_error():
         rest = u - c.centroids[neighbours._nearest(u, c.centroids, 1)[:, 0]]
         along.append(float(np.abs(((rest - c.decode(c.encode(u, rest))) * u).sum(1)).mean()))
     assert along[1] < 0.5 * along[0]
+
+
+def test_vectors_are_placed_once(spark, monkeypatch):
+    """Sizes of groups and the search read what one pass placed; the copies of vectors are deleted afterwards."""
+    plans, gone, write, drop = {}, [], neighbours.materialize, neighbours.discard
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(neighbours, "materialize", written)
+    monkeypatch.setattr(neighbours, "discard", lambda df: (gone.append(df.columns), drop(df)))
+    vectors = clusters(np.random.default_rng(2), 20, 8)
+    assert run(spark, list(vectors.items())) >= {("m000_000", "m000_001")} & brute(vectors, 10, 0.9)
+    assert "MapInPandas" in plans["placed"]
+    assert "MapInPandas" not in plans["cells"] and "MapInPandas" not in plans["near"]
+    assert len(gone) == 1 and "vec" in gone[0]
