@@ -99,32 +99,38 @@ class Tagger:
         with np.load(MODEL) as f:
             return cls(dict(f))
 
-    def states(self, x: np.ndarray, side: int) -> np.ndarray:
-        """(T, B, H) hidden states of the classes x (T, B), read in the given order."""
-        t, n = x.shape
-        h, wx, wh = self.h, self.wx[side], self.wh[side]
-        # ``cell`` holds half the cell, so that the new value, clipped to 0..1, is only shifted.
-        cell, out = np.zeros((n, h), np.float32), np.zeros((t + 1, n, h), np.float32)  # out[t]: the state before the first character
-        g, a = np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32)
-        take, keep, give, new = (g[:, k * h : (k + 1) * h] for k in range(4))
-        half = np.float32(0.5)
-        for i in range(t):
-            np.matmul(out[i - 1], wh, out=g)
-            np.add(g, wx[x[i]], out=g)
-            np.clip(g, 0, 1, out=g)
-            np.multiply(cell, keep, out=cell)
-            np.subtract(new, half, out=a)
-            np.multiply(a, take, out=a)
-            np.add(cell, a, out=cell)
-            np.abs(cell, out=a)
-            np.add(a, half, out=a)
-            np.divide(cell, a, out=a)
-            np.multiply(give, a, out=out[i])
-        return out[:t]
-
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        h = self.h
-        return self.states(x, 0) @ self.w["wo"][:h] + self.states(x[::-1], 1)[::-1] @ self.w["wo"][h:] + self.w["b"]
+        """(T, K, B) of the classes x (T, B), read from both sides; states are used while they are at hand and not kept."""
+        t, n = x.shape
+        h, k = self.h, len(self.w["b"])
+        e, part = np.empty((t, k, n), np.float32), np.empty((k, n), np.float32)
+        g, given, a = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32)
+        take, keep, give, new = (g[:, j * h : (j + 1) * h] for j in range(4))
+        half, x = np.float32(0.5), x.astype(np.intp)
+        for side in range(2):
+            wx, wh, wo = self.wx[side], self.wh[side], np.ascontiguousarray(self.w["wo"][side * h : (side + 1) * h].T)
+            # ``cell`` holds half the cell, so that the new value, clipped to 0..1, is only shifted.
+            cell, state = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            for i in range(t) if side == 0 else range(t - 1, -1, -1):
+                np.matmul(state, wh, out=g)
+                np.take(wx, x[i], axis=0, out=given, mode="clip")
+                np.add(g, given, out=g)
+                np.clip(g, 0, 1, out=g)
+                np.multiply(cell, keep, out=cell)
+                np.subtract(new, half, out=a)
+                np.multiply(a, take, out=a)
+                np.add(cell, a, out=cell)
+                np.abs(cell, out=a)
+                np.add(a, half, out=a)
+                np.divide(cell, a, out=a)
+                np.multiply(give, a, out=state)
+                if side == 0:
+                    np.matmul(wo, state.T, out=e[i])
+                else:
+                    np.matmul(wo, state.T, out=part)
+                    np.add(e[i], part, out=e[i])
+        e += self.w["b"][:, None]
+        return e
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags (T, B) by Viterbi; it is left out for windows whose best path is O throughout.
@@ -136,22 +142,21 @@ class Tagger:
         move, first, last = self.w["move"], self.w["first"], self.w["last"]
         into = np.maximum(move[:, 1:].max(0) - move[0, 0], first[1:] - first[0])
         out = max((move[1:, 0] - move[0, 0]).max(), (last[1:] - last[0]).max())
-        gain = (e[:, :, 1:] + into).max(2) - e[:, :, 0]
-        run, most = np.zeros(e.shape[1], np.float32), np.full(e.shape[1], -np.inf, np.float32)
-        for g in gain:
+        run, most = np.zeros(e.shape[2], np.float32), np.full(e.shape[2], -np.inf, np.float32)
+        for row in e:
             np.maximum(run, 0, out=run)
-            np.add(run, g, out=run)
+            np.add(run, (row[1:] + into[:, None]).max(0) - row[0], out=run)
             np.maximum(most, run, out=most)
         open_ = np.flatnonzero(most + out >= -1e-3)
-        tags = np.zeros(e.shape[:2], np.int8)
+        tags = np.zeros((len(e), e.shape[2]), np.int8)
         if len(open_):
-            tags[:, open_] = self.viterbi(e[:, open_])
+            tags[:, open_] = self.viterbi(e[:, :, open_])
         return tags
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best tags (T, B); the way back is read from the scores, so that a step forward is one sum and one maximum."""
-        t, n, k = e.shape
-        e, move = np.ascontiguousarray(e.transpose(0, 2, 1)), self.w["move"]
+        """Best tags (T, B) of e (T, K, B); the way back is read from the scores, so that a step forward is one sum and one maximum."""
+        t, k, n = e.shape
+        move = self.w["move"]
         best, s = np.empty((t, k, n), np.float32), np.empty((k, k, n), np.float32)
         best[0] = e[0] + self.w["first"][:, None]
         for i in range(1, t):

@@ -89,3 +89,11 @@ def test_left_out_paths_are_all_o():
     for i, t in enumerate(texts):
         x[: len(t[: pii.WINDOW]), i] = pii.classes(t[: pii.WINDOW])
     assert (tagger.decode(x) == tagger.viterbi(tagger.emissions(x))).all()
+
+
+def test_emissions_against_training():
+    """(T, K, B), from both sides, as the network in training gives them."""
+    tagger, x = pii.Tagger.load(), np.random.default_rng(3).integers(0, pii.N_CHARS, (50, 7)).astype(np.uint8)
+    one, two = training._forward(tagger.w, 0, x)[3], training._forward(tagger.w, 1, x[::-1])[3][::-1]
+    want = np.concatenate([one, two], 2) @ tagger.w["wo"] + tagger.w["b"]
+    assert np.allclose(tagger.emissions(x), want.transpose(0, 2, 1), atol=1e-3)
