@@ -132,22 +132,35 @@ class Tagger:
         e += self.w["b"][:, None]
         return e
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags (T, B) by Viterbi; it is left out for windows whose best path is O throughout.
+    def open(self, e: np.ndarray) -> np.ndarray:
+        """Whether the best path of each window of e (T, K, B) may leave O.
 
-        Against that path, a run of other tags gains at most the sum of what each of its characters can gain with the best
-        move into it, less what the cheapest way out of the run costs. Where no run of neighbours sums up to that, none pays.
+        Against the path of O throughout, a run of other tags gains at most what its first character can gain with the best
+        move from O, and each other one with the best move from another tag, less what the cheapest way out of the run
+        costs. Where no run sums up to that, none pays.
         """
-        e = self.emissions(x)
         move, first, last = self.w["move"], self.w["first"], self.w["last"]
-        into = np.maximum(move[:, 1:].max(0) - move[0, 0], first[1:] - first[0])
+        enter = np.maximum(move[0, 1:] - move[0, 0], first[1:] - first[0])[:, None]
+        stay = (move[1:, 1:].max(0) - move[0, 0])[:, None]
         out = max((move[1:, 0] - move[0, 0]).max(), (last[1:] - last[0]).max())
-        run, most = np.zeros(e.shape[2], np.float32), np.full(e.shape[2], -np.inf, np.float32)
+        n = e.shape[2]
+        run, most = np.full(n, -np.inf, np.float32), np.full(n, -np.inf, np.float32)
+        gain, best = np.empty((e.shape[1] - 1, n), np.float32), np.empty(n, np.float32)
         for row in e:
-            np.maximum(run, 0, out=run)
-            np.add(run, (row[1:] + into[:, None]).max(0) - row[0], out=run)
+            np.add(row[1:], stay, out=gain)
+            gain.max(0, out=best)
+            np.add(run, best, out=run)
+            np.add(row[1:], enter, out=gain)
+            gain.max(0, out=best)
+            np.maximum(run, best, out=run)
+            np.subtract(run, row[0], out=run)
             np.maximum(most, run, out=most)
-        open_ = np.flatnonzero(most + out >= -1e-3)
+        return most + out >= -1e-3
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """Best tags (T, B) by Viterbi; it is left out for windows whose best path is O throughout."""
+        e = self.emissions(x)
+        open_ = np.flatnonzero(self.open(e))
         tags = np.zeros((len(e), e.shape[2]), np.int8)
         if len(open_):
             tags[:, open_] = self.viterbi(e[:, :, open_])

@@ -97,3 +97,18 @@ def test_emissions_against_training():
     one, two = training._forward(tagger.w, 0, x)[3], training._forward(tagger.w, 1, x[::-1])[3][::-1]
     want = np.concatenate([one, two], 2) @ tagger.w["wo"] + tagger.w["b"]
     assert np.allclose(tagger.emissions(x), want.transpose(0, 2, 1), atol=1e-3)
+
+
+def test_few_windows_need_viterbi():
+    """A run of other tags that cannot begin after O leaves a window closed; no window whose best path leaves O is closed."""
+    tagger, texts = pii.Tagger.load(), pd.read_parquet("/root/testdata/sf0.001/raw_messages.parquet", columns=["content"])["content"].dropna().tolist()[:400]
+    x = np.zeros((pii.WINDOW, len(texts)), np.uint8)
+    for i, t in enumerate(texts):
+        x[: len(t[: pii.WINDOW]), i] = pii.classes(t[: pii.WINDOW])
+    e, rng = tagger.emissions(x), np.random.default_rng(5)
+    assert tagger.open(e).sum() < 0.3 * len(texts)
+    some = rng.normal(0, 3, (6, len(pii.TAGS), 3000)).astype(np.float32)
+    some[:, 0] += rng.uniform(3, 15, 3000).astype(np.float32)
+    for each in (e, some, some[:1]):
+        left = tagger.viterbi(each).any(0)
+        assert tagger.open(each)[left].all() and left.any() and not left.all()
